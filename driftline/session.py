@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "driftline", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,3 +41,11 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Broadcast hint only where the counted rows fit; otherwise Spark joins by shuffle."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
