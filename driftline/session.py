@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,13 +35,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back from there.
+    """Write ``df`` as a table in the shared checkpoint folder and read it from there.
 
-    Needed where a value must not change when a lost task is run again (partition numbers, row ids) and
-    between rounds of an iterative job.
+    Needed where a value must not change when a lost task is run again (partition numbers, row ids) and between
+    rounds of an iterative job. Unlike a checkpointed plan, a written table brings its true size, so the joins that
+    follow are planned on facts.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 BROADCAST_BYTES = 64 << 20
