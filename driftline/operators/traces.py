@@ -113,7 +113,7 @@ def gap_flags(df: DataFrame, rule: GapRule) -> DataFrame:
 
 def traces(df: DataFrame, rule: GapRule, min_duration_us: int = 0) -> DataFrame:
     """One row per trace: start, end, duration and point count. Only entity and time columns are read."""
-    narrow = df.select(rule.entity, rule.ts)
+    narrow, rule = df.select(rule.entity, rule.ts), replace(rule, tiebreak=())
     _, frags = _fragments(narrow, rule, _dense_cells(narrow, rule))
     linked = _link(frags, rule)
     return (linked.groupBy(rule.entity, "trace_no")

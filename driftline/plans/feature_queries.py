@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators import exemplars, summaries
+from driftline.operators import density, exemplars, summaries, windows
 from driftline.operators.coding import Coder
 from driftline.operators.scaling import Scaler
 from driftline.plans.registry import query, table
+from driftline.session import materialise
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,3 +142,24 @@ def cluster_characteristics(spark, sf_dir):
     e = noisy(spark, sf_dir)
     c = summaries.cluster_characteristics(e, e, "vec_id", {"embedding": "mean_value"}, duration=None)
     return c.select("cluster", "n", F.round("mean_value", 9).alias("mean_value"))
+
+
+@query()
+def hdbscan_labels(spark, sf_dir):
+    """Clusters of the first eight dimensions; iterative, so checked by brute force on fixtures."""
+    e = vectors(spark, sf_dir).select("vec_id", F.slice("embedding", 1, 8).alias("v"))
+    return density.hdbscan(e, "vec_id", "v", min_cluster_size=5, min_samples=4, epsilon=0.0)
+
+
+@query()
+def window_clusters(spark, sf_dir):
+    """Event windows to features, codes, clusters and exemplars."""
+    from driftline.plans.trace_queries import N, event_rates
+    cols = [c for c in windows.FEATURES if c != "climb_descent_accels"]
+    w = windows.assign_segment_id(event_rates(spark, sf_dir), ["user_id", "start_us"])
+    flat = materialise(windows.flatten_features(w, "segment_id", cols, N))
+    coder = Coder.fit(flat, "features", 8)
+    coded = materialise(coder.encode(flat, "features").select("segment_id", "code"))
+    labels = density.hdbscan(coded, "segment_id", "code", min_cluster_size=15, min_samples=4, epsilon=0.25)
+    labelled = materialise(coded.join(labels, "segment_id"))
+    return exemplars.label_exemplars(labelled, exemplars.find_exemplars(labelled, "segment_id", "code"), "segment_id")
