@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from driftline.operators.ordering import Blocks, block_count, value_blocks
@@ -17,17 +17,18 @@ SCHEMA = "var_1 string, var_2 string, correlation double"
 
 
 def pearson(df: DataFrame, cols: list[str], digits: int = 4) -> DataFrame:
-    """Upper triangle with diagonal as rows, each pair over the rows where both are present, in one aggregate."""
+    """Upper triangle with diagonal as rows, each pair over the rows where both are present.
+
+    One pass. Rows are spread to pairs and combined map-side again, which keeps the aggregate small enough to be
+    compiled, where one aggregate with an expression per pair is not.
+    """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    both = {(a, b): F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in pairs}
-    num = lambda c, p: F.when(both[p], F.col(c).cast("double"))
-    one = df.agg(*[e for i, (a, b) in enumerate(pairs) for e in (
-        F.covar_pop(num(a, (a, b)), num(b, (a, b))).alias(f"c{i}"),
-        F.stddev_pop(num(a, (a, b))).alias(f"a{i}"), F.stddev_pop(num(b, (a, b))).alias(f"b{i}"))])
-    return one.select(F.inline(F.array(*[F.struct(
-        F.lit(a).alias("var_1"), F.lit(b).alias("var_2"),
-        F.round(F.try_divide(F.col(f"c{i}"), F.col(f"a{i}") * F.col(f"b{i}")), digits).alias("correlation"))
-        for i, (a, b) in enumerate(pairs)])))
+    num = {c: F.col(c).cast("double") for c in cols}
+    spread = F.inline(F.array(*[F.struct(
+        F.lit(a).alias("var_1"), F.lit(b).alias("var_2"), num[a].alias("x"), num[b].alias("y")) for a, b in pairs]))
+    rows = df.select(spread).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return rows.groupBy("var_1", "var_2").agg(F.round(F.try_divide(
+        F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")), digits).alias("correlation"))
 
 
 def strong_pairs(corr: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -36,55 +37,61 @@ def strong_pairs(corr: DataFrame, threshold: float = 0.7) -> DataFrame:
             .orderBy(F.desc(F.abs("correlation")), "var_1", "var_2"))
 
 
-def _weighted_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Distinct (x, y) with their row counts: equal rows are combined before anything is ordered."""
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    return (df.select((x + 0.0).alias("x"), (y + 0.0).alias("y"))
-            .filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
-            .groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
-
+def _weighted_pairs(df: DataFrame, cols: list[str], extra: dict[str, str] | None = None) -> DataFrame:
+    """(pair, x, y, w): distinct value pairs of each pair of columns with their row counts.
 
-def _average_rank(d: DataFrame, col: str, blocks: Blocks, out: str) -> DataFrame:
-    """Average rank of ``col`` over weighted rows. Ranges are ordered on their own; a range that is one single value
-    has one rank and is spread over tasks instead."""
-    d = Blocks(col, blocks.bounds).assign(d, "_blk")
-    # one row per range: bounded by the number of boundaries
-    sizes = d.groupBy("_blk").agg(F.sum("w").alias("_bw"))
-    sizes = sizes.withColumn("_base", F.sum("_bw").over(Window.orderBy("_blk")) - F.col("_bw"))
-    single = Blocks.single_valued(F.col("_blk"))
-    d = (d.join(F.broadcast(sizes), "_blk")
+    Equal rows are combined before anything is ordered. ``extra`` maps a column to one carried along with it.
+    """
+    num = {c: F.col(c).cast("double") + 0.0 for c in cols}
+    extra = extra or {}
+    carried = lambda a, b: [F.col(extra[a]).alias("bx"), F.col(extra[b]).alias("by")] if extra else []
+    spread = F.inline(F.array(*[F.struct(F.lit(i).alias("pair"), num[a].alias("x"), num[b].alias("y"), *carried(a, b))
+                                for i, (a, b) in enumerate(combinations(cols, 2))]))
+    rows = df.select(spread).filter(
+        F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("w"))
+
+
+def _average_rank(d: DataFrame, col: str, block: str, out: str) -> DataFrame:
+    """Average rank of ``col`` per pair over weighted rows. Ranges are ordered on their own; a range that is one
+    single value has one rank and is spread over tasks instead."""
+    # one row per pair and range: bounded by the number of boundaries
+    sizes = d.groupBy("pair", block).agg(F.sum("w").alias("_bw"))
+    sizes = sizes.withColumn("_base", F.sum("_bw").over(Window.partitionBy("pair").orderBy(block)) - F.col("_bw"))
+    single = Blocks.single_valued(F.col(block))
+    d = (d.join(F.broadcast(sizes), ["pair", block])
          .withColumn("_salt", F.when(single, F.pmod(F.xxhash64("x", "y"), F.lit(1024))).otherwise(F.lit(-1))))
-    upto = Window.partitionBy("_blk", "_salt").orderBy(col).rangeBetween(Window.unboundedPreceding, 0)
-    ties = Window.partitionBy("_blk", "_salt", col)
+    upto = Window.partitionBy("pair", block, "_salt").orderBy(col).rangeBetween(Window.unboundedPreceding, 0)
+    ties = upto.rangeBetween(0, 0)
     rank = F.sum("w").over(upto) - (F.sum("w").over(ties) - 1) / 2.0
     return d.withColumn(out, F.col("_base") + F.when(single, (F.col("_bw") + 1) / 2.0).otherwise(rank)).drop(
-        "_blk", "_bw", "_base", "_salt")
+        "_bw", "_base", "_salt")
 
 
 def spearman(df: DataFrame, cols: list[str], digits: int = 4, blocks: int = 256) -> DataFrame:
     """Pairs of different columns; ranks are taken over the rows where both are present."""
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     cuts = value_blocks(wide, cols, blocks)
-    parts = []
-    for a, b in combinations(cols, 2):
-        d = _weighted_pairs(df, a, b)
-        d = _average_rank(d, "x", cuts[a], "rx")
-        d = _average_rank(d, "y", cuts[b], "ry")
-        s = lambda e: F.sum(F.col("w") * e)
-        one = d.agg(F.sum("w").cast("double").alias("n"), s(F.col("rx")).alias("sx"), s(F.col("ry")).alias("sy"),
-                    s(F.col("rx") * F.col("ry")).alias("sxy"), s(F.col("rx") * F.col("rx")).alias("sxx"),
-                    s(F.col("ry") * F.col("ry")).alias("syy"))
-        n = F.col("n")
-        cov = F.col("sxy") / n - F.col("sx") / n * (F.col("sy") / n)
-        vx = F.col("sxx") / n - F.pow(F.col("sx") / n, 2)
-        vy = F.col("syy") / n - F.pow(F.col("sy") / n, 2)
-        parts.append(one.filter(n > 0).select(
-            F.lit(a).alias("var_1"), F.lit(b).alias("var_2"),
-            F.round(F.try_divide(cov, F.sqrt(vx * vy)), digits).alias("correlation")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for c in cols:
+        wide = cuts[c].assign(wide, f"_b_{c}")
+    d = materialise(_weighted_pairs(wide, cols, {c: f"_b_{c}" for c in cols}))
+    d = _average_rank(d, "x", "bx", "rx")
+    d = _average_rank(d, "y", "by", "ry")
+    s = lambda e: F.sum(F.col("w") * e)
+    one = d.groupBy("pair").agg(
+        F.sum("w").cast("double").alias("n"), s(F.col("rx")).alias("sx"), s(F.col("ry")).alias("sy"),
+        s(F.col("rx") * F.col("ry")).alias("sxy"), s(F.col("rx") * F.col("rx")).alias("sxx"),
+        s(F.col("ry") * F.col("ry")).alias("syy"))
+    n = F.col("n")
+    cov = F.col("sxy") / n - F.col("sx") / n * (F.col("sy") / n)
+    vx = F.col("sxx") / n - F.pow(F.col("sx") / n, 2)
+    vy = F.col("syy") / n - F.pow(F.col("sy") / n, 2)
+    return one.select(*_pair_names(cols), F.round(F.try_divide(cov, F.sqrt(vx * vy)), digits).alias("correlation"))
+
+
+def _pair_names(cols: list[str]) -> list[Column]:
+    pairs = list(combinations(cols, 2))
+    return [F.get(F.lit([p[i] for p in pairs]), F.col("pair")).alias(name) for i, name in enumerate(("var_1", "var_2"))]
 
 
 # ---- Kendall -------------------------------------------------------------------------------------------------
@@ -124,6 +131,10 @@ def _score_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"score": [pair_score(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())]})
 
 
+def _score_pair(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _score_group(pdf).assign(pair=pdf["pair"].iloc[0])
+
+
 def _grouped_score(d: DataFrame, group: str, group_rows: int) -> float:
     """Sum of scores inside each group. Groups above the row limit are cut again by the same method."""
     sizes = d.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
@@ -167,19 +178,32 @@ def _score(d: DataFrame, group_rows: int) -> float:
     return cross + in_x + _grouped_score(by_range.select("x", "y", "w", "g"), "g", group_rows)
 
 
-def _tied_pairs(d: DataFrame, key: str) -> Row:
-    return d.groupBy(key).agg(F.sum("w").cast("double").alias("t")).agg(
-        F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("p"), F.sum("t").alias("n")).first()
+def _tied_pairs(d: DataFrame, key: str) -> dict[int, Row]:
+    """Per pair of columns: pairs of rows with equal ``key``, and rows."""
+    per = d.groupBy("pair", key).agg(F.sum("w").cast("double").alias("t"))
+    rows = per.groupBy("pair").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("p"), F.sum("t").alias("n"))
+    return {r["pair"]: r for r in rows.collect()}  # one row per pair of columns
 
 
 def kendall(df: DataFrame, cols: list[str], digits: int = 4, group_rows: int = GROUP_ROWS) -> DataFrame:
     """tau-b for pairs of different columns. Only range counts and per-range sums reach the driver."""
+    d = materialise(_weighted_pairs(df, cols))
+    tx, ty = _tied_pairs(d, "x"), _tied_pairs(d, "y")
+    sizes = {r["pair"]: r["c"] for r in d.groupBy("pair").agg(F.count(F.lit(1)).alias("c")).collect()}
+    small = [i for i, c in sizes.items() if c <= group_rows]
+    score = {}
+    if small:
+        found = (d.filter(F.col("pair").isin(small)).groupBy("pair")
+                 .applyInPandas(_score_pair, "pair int, score double").collect())  # one row per pair of columns
+        score = {r["pair"]: r["score"] for r in found}
     rows = []
-    for a, b in combinations(cols, 2):
-        d = _weighted_pairs(df, a, b)
-        tx, ty = _tied_pairs(d, "x"), _tied_pairs(d, "y")
-        n = tx["n"] or 0.0
-        n0 = n * (n - 1) / 2
-        den = math.sqrt(max(n0 - (tx["p"] or 0), 0)) * math.sqrt(max(n0 - (ty["p"] or 0), 0))
-        rows.append((a, b, round(_score(d, group_rows) / den, digits) if den else None))
+    for i, (a, b) in enumerate(combinations(cols, 2)):
+        if i not in sizes:
+            rows.append((a, b, None))
+            continue
+        if i not in score:
+            score[i] = _score(d.filter(F.col("pair") == i).select("x", "y", "w"), group_rows)
+        n0 = tx[i]["n"] * (tx[i]["n"] - 1) / 2
+        den = math.sqrt(max(n0 - tx[i]["p"], 0)) * math.sqrt(max(n0 - ty[i]["p"], 0))
+        rows.append((a, b, round(score[i] / den, digits) if den else None))
     return df.sparkSession.createDataFrame(rows, SCHEMA)

@@ -49,12 +49,13 @@ class Blocks:
     bounds: tuple[float, ...]
 
     def assign(self, df: DataFrame, name: str) -> DataFrame:
-        """Append the block number; ``df`` has no NULL or NaN in the column."""
+        """Append the block number; what it is for NULL or NaN is not defined."""
         if not self.bounds:
             return df.withColumn(name, F.lit(0))
         inf = float("inf")
         inner = [b for b in self.bounds if b not in (inf, -inf)]
-        cut = Bucketizer(splits=[-inf, *inner, inf], inputCol=self.column, outputCol="_cut")
+        cut = Bucketizer(splits=[-inf, *inner, inf], inputCol=self.column, outputCol="_cut",
+                         handleInvalid="keep")
         k = F.col("_cut").cast("int")
         table = F.lit([float("nan"), *inner])
         on_bound = F.col(self.column) == F.get(table, k)
@@ -68,10 +69,11 @@ class Blocks:
 
 
 def value_blocks(df: DataFrame, columns: list[str], count: int = 64) -> dict[str, Blocks]:
-    """Boundaries near ``count`` equal shares for each column, from one mergeable-sketch pass."""
-    probs = [i / count for i in range(1, count)]
-    found = df.stat.approxQuantile(columns, probs, 1.0 / (4 * count))
-    return {c: Blocks(c, tuple(sorted({b + 0.0 for b in q}))) for c, q in zip(columns, found)}
+    """Boundaries near ``count`` equal shares for each column, from one pass of mergeable sketches."""
+    probs = F.lit([i / count for i in range(1, count)])
+    value = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
+    row = df.agg(*[F.percentile_approx(value(c), probs, 4 * count).alias(c) for c in columns]).first()
+    return {c: Blocks(c, tuple(sorted({b + 0.0 for b in row[c] or []}))) for c in columns}
 
 
 def block_count(rows: int, per_block: int = 1_000_000, most: int = 2048) -> int:

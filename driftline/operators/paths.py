@@ -62,14 +62,22 @@ def rotate_to_y(paths: DataFrame, keys: list[str], lead: int = 4) -> DataFrame:
     return paths.select(*keys, turned.alias("path"))
 
 
+def _numbered(paths: DataFrame) -> Column:
+    """Path points as structs that start with their 0-based position.
+
+    Spread with ``inline``: taking single fields from an exploded struct makes the optimizer rebuild the path for each.
+    """
+    fields = paths.schema["path"].dataType.elementType.names
+    return F.transform("path", lambda p, i: F.struct(i.alias("point_idx"), *[p[f].alias(f) for f in fields]))
+
+
 def path_points(paths: DataFrame, keys: list[str]) -> DataFrame:
     """One row per path point with a 0-based ``point_idx``."""
-    return paths.select(*keys, F.posexplode("path").alias("point_idx", "_p")).select(*keys, "point_idx", "_p.*")
+    return paths.select(*keys, F.inline(_numbered(paths)))
 
 
 def label_paths(labels: DataFrame, paths: DataFrame, key: str) -> DataFrame:
     """Every label with its path points. Joined while a path is still one row, then spread."""
     rest = [c for c in paths.columns if c not in (key, "path")]
     joined = labels.join(paths, key, "left")
-    return (joined.select(*labels.columns, *rest, F.posexplode_outer("path").alias("point_idx", "_p"))
-            .select(*labels.columns, *rest, "point_idx", "_p.*"))
+    return joined.select(*labels.columns, *rest, F.inline_outer(_numbered(paths)))

@@ -185,12 +185,12 @@ def stream_dedupe(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT DISTINCT epoch_us(ts) // 60000000 * 60 - CASE WHEN event_type <> 'view' THEN 3 ELSE 0 END AS at,
+WITH e AS (SELECT DISTINCT epoch_us(ts) // 60000000 * 60 - CASE WHEN event_type <> 'view' THEN 3 ELSE 0 END AS sec,
   epoch_us(ts) // 60000000 * 60 AS snap, printf('%x', user_id) AS hex FROM events),
-f AS (SELECT hex, snap, min(at) AS at FROM e GROUP BY 1, 2),
-g AS (SELECT *, at - lag(at) OVER (PARTITION BY hex ORDER BY at) AS d FROM f),
-t AS (SELECT *, sum(CASE WHEN d > 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY hex ORDER BY at ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT hex, min(at) * 1000000 AS start_us, count(*) AS point_count FROM t GROUP BY hex, k""")
+f AS (SELECT hex, snap, min(sec) AS sec FROM e GROUP BY 1, 2),
+g AS (SELECT *, sec - lag(sec) OVER (PARTITION BY hex ORDER BY sec) AS d FROM f),
+t AS (SELECT *, sum(CASE WHEN d > 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY hex ORDER BY sec ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT hex, min(sec) * 1000000 AS start_us, count(*) AS point_count FROM t GROUP BY hex, k""")
 def traces_from_snapshots(spark, sf_dir):
     """Snapshot points, one per key, joined into traces by their epoch-second times."""
     pts = reports.snapshot_points(reports.explode_snapshots(
