@@ -129,7 +129,7 @@ def locate(df: DataFrame, rule: GapRule, min_duration_us: int = 0, min_points: i
 
     Traces that are too short, or hold a point for which ``reject`` is true, are dropped at summary level, before
     their points are joined. The point side keeps the partitioning of its cell window through the join, so the
-    points are shuffled once.
+    points are shuffled once. Input columns named like an added one are replaced.
     """
     narrow = df.select(rule.entity, rule.ts,
                        *([reject.cast("int").alias("_bad")] if reject is not None else []))
@@ -152,8 +152,9 @@ def locate(df: DataFrame, rule: GapRule, min_duration_us: int = 0, min_points: i
            .filter(F.col("_t").isNotNull()))
     first_in_cell = F.col("_prev").isNull()
     diff = F.when(first_in_cell, F.col("_us") - F.col("_t._last_before")).otherwise(F.col("_us") - F.col("_prev"))
+    made = ("us", "trace_no", "start_us", "end_us", "point_count", "pos", "diff_us")
     return got.select(
-        *[c for c in df.columns], F.col("_us").alias("us"),
+        *[c for c in df.columns if c not in made], F.col("_us").alias("us"),
         F.col("_t.trace_no").alias("trace_no"), F.col("_t.start_us").alias("start_us"),
         F.col("_t.end_us").alias("end_us"), F.col("_t.point_count").alias("point_count"),
         (F.col("_t._before") + F.col("_row") - F.col("_t._row0")).alias("pos"),
