@@ -119,9 +119,10 @@ def _foreign_edge(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
 def _search_open(index: BlockIndex, comp: DataFrame, facts: DataFrame, best: DataFrame, n_comp: int) -> DataFrame:
     """Edges found by searching the points whose neighbour list does not settle their component's lightest edge."""
     small_best = broadcast_if_small(best.select("c", F.col("w").alias("bound")), n_comp, 32)
-    state = materialise(facts.join(comp, "n"))
+    state = facts.join(comp, "n")
     open_pts = state.join(small_best, "c", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     open_pts = open_pts.filter(F.col("r") <= F.col("bound")).select("n", "c", "core", "bound")
+    open_pts = materialise(open_pts)
     if open_pts.isEmpty():
         return best
     pts = index.points.join(state.select("n", "c", "core"), "n").select("n", "v", "block", "c", "core")

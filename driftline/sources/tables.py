@@ -38,15 +38,17 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 def write_partitioned(df: DataFrame, path: str, id_col: str, ts_col: str, digits: int = 2,
                       prefix_col: str = "hex_prefix", mode: str = "overwrite",
-                      max_records: int = 5_000_000) -> DataFrame:
+                      max_records: int = 5_000_000, partitions: int | None = None) -> DataFrame:
     """Write a table in folders by id prefix, ordered by id and time inside files; returns rows per prefix.
 
     Rows are placed by ranges of (prefix, id, time), so a prefix or id that holds a large part of the rows is spread
-    over several tasks and files, while a small prefix still ends in one.
+    over several tasks and files, while a small prefix still ends in one. Without ``partitions`` Spark sizes the
+    ranges itself.
     """
     keyed = df.withColumn(prefix_col, F.substring(id_col, 1, digits))
     order = [prefix_col, id_col, ts_col]
-    (keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = [partitions, *order] if partitions else order
+    (keyed.repartitionByRange(*ranges).sortWithinPartitions(*order)
      .write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", max_records)
      .partitionBy(prefix_col).parquet(path))
     return keyed.groupBy(prefix_col).agg(F.count(F.lit(1)).alias("rows"))

@@ -39,14 +39,18 @@ def hdbscan(points, min_size, min_samples, epsilon):
     dist = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
     core = np.sort(dist, 1)[:, min(min_samples, n - 1)]
     reach = np.maximum(dist, np.maximum(core[:, None], core[None]))
-    inside, best, via, edges = {0}, reach[0].copy(), np.zeros(n, int), []
-    while len(inside) < n:
-        j = min((x for x in range(n) if x not in inside), key=lambda x: best[x])
-        edges.append((best[j], via[j], j))
-        inside.add(j)
-        closer = reach[j] < best
-        best[closer], via[closer] = reach[j][closer], j
-    edges.sort()
+    # of equally heavy edges the one between lower numbers comes first, so that the tree is unique
+    up, edges = list(range(n)), []
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+    for w, a, b in sorted((reach[i, j], i, j) for i in range(n) for j in range(i + 1, n)):
+        if find(a) != find(b):
+            up[find(a)] = find(b)
+            edges.append((w, a, b))
 
     def parts(nodes, kept):
         label = {x: x for x in nodes}
