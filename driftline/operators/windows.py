@@ -83,8 +83,11 @@ def _windows_with_holes(df, rule, measures, n, half, gap_us, min_duration_us, bl
     pts = (pts.withColumn("_hl", F.sum("_hole").over(local)).join(per, [*key, "_pb"])
            .withColumn("run_no", F.col("_h0") + F.col("_hl")).filter(F.col("_hole") == 0))
     run = [*key, "run_no"]
-    spans = pts.groupBy(*run).agg(F.min("pos").alias("_p0"), F.count(F.lit(1)).alias("_len"))
-    pts = (pts.drop("point_count").join(spans.filter(F.col("_len") >= n), run)
+    # a run's start and length, again by way of its position blocks
+    spans = pts.groupBy(*run, "_pb").agg(F.min("pos").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    over = Window.partitionBy(*run)
+    spans = spans.select(*run, "_pb", F.min("_first").over(over).alias("_p0"), F.sum("_c").over(over).alias("_len"))
+    pts = (pts.drop("point_count").join(spans.filter(F.col("_len") >= n), [*run, "_pb"])
            .withColumn("pos", F.col("pos") - F.col("_p0")).withColumn("point_count", F.col("_len")))
     return _cut(pts, run, measures, n, half, gap_us, block_points).drop("run_no")
 

@@ -72,3 +72,7 @@ TRACE_ARRAYS = {
 # Point column -> window column.
 WINDOW_MEASURES = {"vertical_rate_baro": "vertical_rates", "ground_speed": "ground_speeds", "track": "headings",
                    "altitude_baro": "altitudes"}
+
+# Point column -> prefix of its summary columns.
+SUMMARY_MEASURES = {"altitude_baro": "altitude", "ground_speed": "speed", "vertical_rate_baro": "vertical_rate",
+                    "latitude": "latitude", "longitude": "longitude"}

@@ -176,3 +176,25 @@ def test_whole_chain(spark):
     assert labels.count() == objects * 37
     out = chain.labelled_trajectories(wins, labels, s)
     assert out.count() == objects * 37 * 50
+
+
+def test_table_forms(spark, tmp_path):
+    base = f"{tmp_path}/tr"
+    put(f"{base}/trace_full_a.json", {"icao": "aaaaaa", "timestamp": 1722470400, "trace": [
+        point(300 * i, 1000 + i, meta={"flight": "F1", "nav_heading": 12.345, "squawk": "7000"} if i else None) for i in range(5)]})
+    pts = reports.read_traces(spark, base)
+    r = chain.point_traces(pts).first()
+    assert r.duration_us == 1_200_000_000 and r.altitude_baro == [1000, 1001, 1002, 1003, 1004]
+    assert r.squawk == [None] + ["7000"] * 4 and r.flight is None and float(r.nav_heading[1]) == 12.35
+    f = chain.trace_features(pts).first()
+    assert (f.altitude_min, f.altitude_max, f.altitude_median, f.speed_std) == (1000, 1004, 1002.0, 0.0)
+    rep = chain.day_report(pts)
+    assert rep["total_rows"].first()[0] == 5 and rep["over_duration"].first()[0] == 1
+    assert {x.column_name: x.null_count for x in rep["null_counts"].collect()}["flight"] == 1
+    values = {x.column_name: x["values"] for x in rep["distinct_values"].collect()}
+    assert values["flight"] == ["F1", None] and values["source_type"] == ["adsb_icao"]
+    snaps = spark.createDataFrame([(1722470400 + 300 * i, "abc", 1722470400 + 300 * i - 2) for i in (0, 1, 2, 5)],
+                                  "snapshot_timestamp bigint, hex string, actual_timestamp bigint")
+    full = snaps.withColumns({c: F.lit(None).cast(t) for c, t in schemas.SNAPSHOT_POINTS.items() if c not in snaps.columns})
+    got = chain.snapshot_traces(full, "s").orderBy("time_stamp_start").collect()
+    assert [(x.point_count, x.duration, len(x.latitude)) for x in got] == [(3, 600, 3), (1, 0, 1)]
