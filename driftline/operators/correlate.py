@@ -68,8 +68,9 @@ def _average_rank(d: DataFrame, col: str, block: str, out: str) -> DataFrame:
         "_bw", "_base", "_salt")
 
 
-def spearman(df: DataFrame, cols: list[str], digits: int = 4, blocks: int = 256) -> DataFrame:
+def spearman(df: DataFrame, cols: list[str], digits: int = 4, blocks: int | None = None) -> DataFrame:
     """Pairs of different columns; ranks are taken over the rows where both are present."""
+    blocks = blocks or block_count(df.count())
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     cuts = value_blocks(wide, cols, blocks)
     for c in cols:

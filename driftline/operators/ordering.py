@@ -76,5 +76,6 @@ def value_blocks(df: DataFrame, columns: list[str], count: int = 64) -> dict[str
     return {c: Blocks(c, tuple(sorted({b + 0.0 for b in row[c] or []}))) for c in columns}
 
 
-def block_count(rows: int, per_block: int = 1_000_000, most: int = 2048) -> int:
+def block_count(rows: int, per_block: int = 1_000_000, most: int = 10_000) -> int:
+    """How many ranges keep each near ``per_block`` rows."""
     return max(8, min(most, -(-rows // per_block)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions.scalars import as_micros, minutes_crossed, percent
-from driftline.operators.ordering import value_blocks
+from driftline.operators.ordering import block_count, value_blocks
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -156,12 +156,15 @@ def rows_in_top_values(df: DataFrame, col: str, n: int = 10) -> DataFrame:
 
 # ---- order statistics ----------------------------------------------------------------------------------------
 
-def quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float], blocks: int = 256) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float],
+              blocks: int | None = None) -> DataFrame:
     """Exact interpolated quantiles per key and column as rows (keys, column_name, prob, value).
 
     Values are counted, placed in value ranges, and only the ranges that hold a wanted rank are ordered. No group is
-    ordered as a whole, so neither the global case (no keys) nor one huge key becomes a single task.
+    ordered as a whole, so neither the global case (no keys) nor one huge key becomes a single task. The number of
+    ranges follows the row count unless given.
     """
+    blocks = blocks or block_count(df.count())
     wide = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
     for c, b in value_blocks(wide, cols, blocks).items():
         clean = wide.withColumn(c, F.when(~F.isnan(c), F.col(c)))
@@ -184,6 +187,8 @@ def quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float
                .filter(hit(F.col("lo")) | hit(F.col("hi")))
                .groupBy(*group, "block").agg(
                    F.first("before").alias("before"), F.collect_list(F.struct("prob", "lo", "hi", "frac")).alias("want")))
+    if not keys:
+        targets = F.broadcast(targets)  # at most two ranges per column and probability
     inside = Window.partitionBy(*group, "block").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     found = (counted.join(targets, [*group, "block"])
              .withColumn("last", F.col("before") + F.sum("n").over(inside) - 1)
