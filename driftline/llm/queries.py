@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftline.llm import fertility as fertility_op
+from driftline.llm import language as language_op
+from driftline.llm import secrets as secrets_op
 from driftline.plans.registry import Entry, Query, table
 
 LLM_QUERIES: dict[str, Entry] = {}
@@ -33,3 +36,26 @@ def op5_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_op.fertility(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "script", "n_tokens", "chars_per_token", "byte_share", "entropy_share")
+
+
+@llm_query()
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = secrets_op.fit(*secrets_op.labelled_sample(docs))
+    return secrets_op.secrets(docs, model).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov")
+
+
+def held_out(doc_id: Column) -> Column:
+    """crc32 of the id as text leaves remainder 1; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def language_model(docs: DataFrame) -> language_op.LanguageModel:
+    return language_op.fit(docs.where(~held_out(F.col("doc_id"))))
+
+
+@llm_query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return (language_op.predict(docs, language_model(docs))
+            .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"))
