@@ -118,15 +118,21 @@ def train_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, alp
 
 
 def calibrate(logits: list[np.ndarray], labels: list[int]) -> float:
-    """The temperature with the least negative log-likelihood, by golden-section search on its logarithm."""
-    if not logits:
+    """The temperature with the least cross-entropy, by golden-section search on its logarithm.
+
+    The targets are smoothed by one pseudo-count, as in Platt scaling: otherwise a sample without errors would call for
+    certainty.
+    """
+    if not logits or len(logits[0]) < 2:
         return 1.0
     z, y = np.array(logits), np.array(labels)
+    target = np.full(z.shape, 1.0 / (len(y) + 2) / (z.shape[1] - 1))
+    target[np.arange(len(y)), y] = (len(y) + 1) / (len(y) + 2)
 
     def loss(t):
         q = z / np.exp(t)
         q = q - q.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(q).sum(axis=1)) - q[np.arange(len(y)), y]).mean())
+        return float((np.log(np.exp(q).sum(axis=1)) - (target * q).sum(axis=1)).mean())
     a, b, ratio = np.log(0.02), np.log(20.0), (5 ** 0.5 - 1) / 2
     for _ in range(60):
         c, d = b - ratio * (b - a), a + ratio * (b - a)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm import fertility as fertility_op
 from driftline.llm import language as language_op
+from driftline.llm import packing as packing_op
 from driftline.llm import secrets as secrets_op
 from driftline.plans.registry import Entry, Query, table
 
@@ -59,3 +60,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return (language_op.predict(docs, language_model(docs))
             .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"))
+
+
+@llm_query()
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_op.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
