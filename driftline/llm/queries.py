@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm import fertility as fertility_op
 from driftline.llm import language as language_op
+from driftline.llm import mixing as mixing_op
 from driftline.llm import packing as packing_op
 from driftline.llm import secrets as secrets_op
 from driftline.plans.registry import Entry, Query, table
@@ -65,3 +66,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query()
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_op.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@llm_query(mixing_op.mix_sql())
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_op.mix(table(spark, sf_dir, "documents"))
