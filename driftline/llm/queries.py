@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm import fertility as fertility_op
 from driftline.llm import language as language_op
+from driftline.llm import licenses as licenses_op
 from driftline.llm import mixing as mixing_op
 from driftline.llm import packing as packing_op
 from driftline.llm import secrets as secrets_op
@@ -71,3 +72,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query(mixing_op.mix_sql())
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_op.mix(table(spark, sf_dir, "documents"))
+
+
+@llm_query()
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses_op.scan(table(spark, sf_dir, "documents"))
