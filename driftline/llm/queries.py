@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import fertility as fertility_op
+from driftline.llm import jaccard as jaccard_op
 from driftline.llm import language as language_op
 from driftline.llm import licenses as licenses_op
 from driftline.llm import mixing as mixing_op
@@ -77,3 +78,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query()
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses_op.scan(table(spark, sf_dir, "documents"))
+
+
+@llm_query()
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_op.jaccard_components(table(spark, sf_dir, "documents"))
