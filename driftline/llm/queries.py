@@ -12,6 +12,7 @@ from driftline.llm import jaccard as jaccard_op
 from driftline.llm import language as language_op
 from driftline.llm import licenses as licenses_op
 from driftline.llm import mixing as mixing_op
+from driftline.llm import neighbours as neighbours_op
 from driftline.llm import packing as packing_op
 from driftline.llm import secrets as secrets_op
 from driftline.plans.registry import Entry, Query, table
@@ -83,3 +84,8 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query()
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_op.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@llm_query()
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours_op.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
