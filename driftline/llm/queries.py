@@ -15,6 +15,7 @@ from driftline.llm import mixing as mixing_op
 from driftline.llm import neighbours as neighbours_op
 from driftline.llm import packing as packing_op
 from driftline.llm import secrets as secrets_op
+from driftline.llm import suffixes as suffixes_op
 from driftline.plans.registry import Entry, Query, table
 
 LLM_QUERIES: dict[str, Entry] = {}
@@ -89,3 +90,8 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query()
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours_op.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@llm_query()
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes_op.deduplicate(table(spark, sf_dir, "documents"))
