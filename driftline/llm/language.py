@@ -200,3 +200,15 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             found = [("und", 0.0) if t is None else m.predict(t) for t in bodies]
             yield record_batch(SCHEMA, [ids, [f[0] for f in found], [f[1] for f in found]])
     return work.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def speaks(docs: DataFrame, model: LanguageModel, min_score: float, text_col: str = "text") -> DataFrame:
+    """``docs`` whose text has a predicted language with at least ``min_score``; every column stays as it is."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = F.col(text_col).cast("string")
+
+    @F.pandas_udf("double")
+    def score(letters):
+        m = shared.value
+        return letters.map(lambda t: m.predict(t)[1] if m.labels else 0.0, na_action="ignore")
+    return docs.where(F.coalesce(text.rlike(r"\p{L}"), F.lit(False))).where(score(letters_only(text)) >= min_score)
