@@ -8,8 +8,9 @@ near-copies are expanded into pairs:
    inside their first n - a + l tokens (a: the least overlap a link needs). So a set goes whose first tokens meet too few
    others. A task first merges equal tokens of its own texts, so a token of many copies is sent once a task.
 3. The sets left are ordered by token frequency, rarest first; a set whose prefix meets no other is dropped.
-4. Set relation: each set is compared with one or two leaders, the least nodes that share its sampled tokens. A set that links
-   with its leader joins its group and is kept as the difference to it.
+4. Set relation: each set is compared with one or two leaders, those of the sets with its sampled tokens that have the
+   smallest share of tokens of their own: an original has fewer than what was edited from it. A set that links with its
+   leader joins its group and is kept as the difference to it.
 5. The index holds, per token, groups instead of sets, with their range of sizes and the least position of the token. Lists are
    cut into blocks by size, and blocks that cannot hold a partner are skipped, as are positions after which too little
    of either set is left. Only groups not known to be connected meet.
@@ -19,7 +20,7 @@ near-copies are expanded into pairs:
 7. Links and memberships form the graph whose components are returned.
 
 Defined cases: fewer than five words make one shingle of the whole sequence; null or wordless texts have an empty set and link with
-nothing. Rows with one id count as one document in the result. Ties between leaders go to the smaller node.
+nothing. Rows with one id count as one document in the result. Ties between leaders go to the smaller node. Two steps of leaders give labels; sets of one label are connected.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import record_batch, text_batches, texts
 from driftline.llm.components import components
-from driftline.llm.words import words_of
+from driftline.llm.words import kept, words_of
 from driftline.session import broadcast_if_small, materialise
 
 WIDTH = 5
@@ -44,23 +45,25 @@ SAMPLE = 16
 _FACTOR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word.lower())  # bytes: only A-Z change
+        return h
+
+
 class Shingler:
     """Sorted distinct shingle hashes of a text."""
 
-    def __init__(self, limit: int = 500_000):
-        self.known, self.limit = {}, limit
+    def __init__(self, limit: int = 400_000):
+        self.known, self.limit = _Hashes(), limit
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = words_of(text)
         if not words:
             return np.zeros(0, np.int64)
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w.lower())  # bytes: only A-Z change
-        a = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > self.limit:
+            self.known.clear()
+        a = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         k = min(WIDTH, len(a))
         h = np.full(len(a) - k + 1, k, np.uint64)
         for i in range(k):
@@ -92,7 +95,7 @@ SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()
 def name_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n, node; node is null for an empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
+        shingle = kept("shingles", Shingler)
         for ids, bodies in text_batches(batches, "doc_id", "text"):
             sets = [shingle(t) for t in bodies]
             yield record_batch(SETS, [ids, [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets]])
@@ -102,8 +105,8 @@ def name_sets(docs: DataFrame) -> DataFrame:
 def _first_tokens(docs: DataFrame, buckets: int) -> DataFrame:
     """Per chunk of texts and bucket: tokens of the sets' first parts and which node has each, -1 if several here do."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
-        for (bodies,) in text_batches(batches, "text"):
+        shingle = kept("shingles", Shingler)
+        for (bodies,) in text_batches(batches, "text", most=16 << 20):
             seen: dict[int, np.ndarray] = {}
             for t in bodies:
                 s = shingle(t)
@@ -137,24 +140,34 @@ def _blobs(bucket: list[int], a: list[np.ndarray], b: list[np.ndarray]) -> pa.Re
                                        pa.array([x.tobytes() for x in b], pa.binary())], names=["bucket", "a", "b"])
 
 
-def _meet(key, table):
-    """How many tokens of each node in one bucket another node has too."""
-    a = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("a").to_pylist()])
-    b = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("b").to_pylist()])
-    if key[0].as_py() < 0:
-        node, at = np.unique(a, return_inverse=True)
-        times = np.bincount(at, b, len(node)).astype(np.int64)
-    else:
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))  # copies of a set in other chunks count once
-        # several chunks that each have a shared token need no more than one mark
-        a, b = a[once], b[once]
-        first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
-        count = np.diff(np.append(first, len(a)))
-        told = b[np.repeat(count > 1, count) & (b != -1)] if len(a) else b
-        node, times = np.unique(told, return_counts=True)
-    return pa.table({"node": pa.array(node, pa.int64()), "times": pa.array(times, pa.int64())})
+def _meet(parts: int):
+    """How many tokens of each node in one bucket another node has too, packed by part of the nodes."""
+    def meet(key, table):
+        a = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("a").to_pylist()])
+        b = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("b").to_pylist()])
+        if key[0].as_py() < 0:
+            node, times = a, b
+        else:
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))  # copies of a set in other chunks count once
+            a, b = a[once], b[once]
+            first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            count = np.diff(np.append(first, len(a)))
+            node, times = np.unique(b[np.repeat(count > 1, count) & (b != -1)], return_counts=True)
+        part = (node.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        pieces = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
+        return pa.table({"part": pa.array([int(part[p[0]]) for p in pieces], pa.int64()), "nodes": pa.array([node[p].tobytes() for p in pieces], pa.binary()),
+                         "times": pa.array([times[p].astype(np.int64).tobytes() for p in pieces], pa.binary())})
+    return meet
+
+
+def _add_up(key, table):
+    node = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("nodes").to_pylist()])
+    times = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("times").to_pylist()])
+    nodes, at = np.unique(node, return_inverse=True)
+    return pa.table({"node": pa.array(nodes), "times": pa.array(np.bincount(at, times, len(nodes)).astype(np.int64))})
 
 
 def may_link(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -162,9 +175,9 @@ def may_link(docs: DataFrame, sets: DataFrame) -> DataFrame:
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(total) // BUCKET_TOKENS)
     salted = (_first_tokens(docs, buckets)
-              .withColumn("part", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("a"), F.lit(buckets))).otherwise(F.col("bucket"))))
-    told = salted.groupBy("bucket", "part").applyInArrow(_meet, "node long, times long")
-    met = told.groupBy("node").agg(F.sum("times").alias("times"))
+              .withColumn("salt", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("a"), F.lit(buckets))).otherwise(F.col("bucket"))))
+    told = salted.groupBy("bucket", "salt").applyInArrow(_meet(max(8, buckets // 4)), "part long, nodes binary, times binary")
+    met = told.groupBy("part").applyInArrow(_add_up, "node long, times long")
     sizes = sets.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"))
     enough = F.floor(F.floor((4 * F.col("n") + 4) / 5) / 10) + 1  # the smallest partner asks for the least
     return met.join(sizes, "node").where(F.col("times") >= enough).select("node")
@@ -173,7 +186,7 @@ def may_link(docs: DataFrame, sets: DataFrame) -> DataFrame:
 def token_sets(docs: DataFrame) -> DataFrame:
     """node, n, tokens of the given documents' sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
+        shingle = kept("shingles", Shingler)
         for (bodies,) in text_batches(batches, "text", most=1 << 22):
             sets = [s for s in map(shingle, bodies) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
@@ -200,12 +213,12 @@ def linked_nodes(sets: DataFrame) -> DataFrame:
     prefix = (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1 - lone).cast("int")
     nodes = materialise(ordered.where(prefix > 0).select(
         "node", "n", F.transform(F.slice("own", F.lit(1), prefix), lambda x, i: F.struct(x.token.alias("token"), (i + lone).alias("at"))).alias("prefix"),
-        F.slice(F.array_sort(F.transform("own", lambda x: x.token)), 1, SAMPLE).alias("sample")))
+        F.slice(F.array_sort(F.transform("own", lambda x: x.token)), 1, SAMPLE).alias("sample"), (lone / F.col("n")).alias("lone")))
     body = materialise(sets.join(nodes.select("node"), "node", "left_semi"))
 
     # leaders
-    drawn = nodes.select("node", F.explode("sample").alias("token"))
-    least = drawn.groupBy("token").agg(F.min("node").alias("leader"))
+    drawn = nodes.select("node", "lone", F.explode("sample").alias("token"))
+    least = drawn.groupBy("token").agg(F.min(F.struct("lone", "node")).alias("first")).select("token", F.col("first.node").alias("leader"))
     votes = drawn.join(least, "token").where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", (-F.col("leader")).alias("back"))), asc=False), 1, 2).alias("best"))
     tried = best.select("node", F.explode("best").alias("b")).select("node", (-F.col("b.back")).alias("leader"))
@@ -277,3 +290,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest = member.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     of_node = member.join(smallest, "root").select("node", "component_id")
     return named.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without those whose component has a smaller id, and without repeated rows of one id and text."""
+    found = materialise(jaccard_components(docs, id_col, text_col))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    keep = found.where(stays).select("doc_id")
+    lost = materialise(found.where(~stays).select("doc_id").distinct().join(keep, "doc_id", "left_anti").withColumnRenamed("doc_id", "_lost"))
+    out = docs.join(broadcast_if_small(lost, lost.count(), 16), F.col(id_col).cast("long") == F.col("_lost"), "left_anti")
+    unique = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return out if unique else out.dropDuplicates([id_col, text_col])
