@@ -7,8 +7,9 @@ all parts of which are searched.
 A query first descends to its own leaf in some trees and takes the nearest there. How often their bits after the common prefix
 agree with its own tells how likely a neighbour as near as these shares a prefix of a given length. From that follows the
 longest prefix at which a share ``recall`` of such neighbours is met in at least one of the trees. All trees then ascend
-together to that length, and everything below it is compared exactly. So the work follows the data: close neighbours are
-found under long prefixes, vectors without any structure need short ones and with them many comparisons.
+together to that length, and everything below it is compared exactly. A query that has met too few candidates ascends
+further, at last to the roots. So the work follows the data: close neighbours are found under long prefixes, vectors
+without any structure need short ones and with them many comparisons.
 
 Copies of a vector are one entry with its smallest ids; nothing is capped: the ids kept are more than a result can hold.
 
@@ -175,7 +176,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0
     miss = math.log(1 - (1 - recall) ** (1 / trees))
     depth = F.least(F.lit(BITS), F.floor(F.lit(miss) / F.log(p))).cast("int")
     depths = first.groupBy("query").agg(F.coalesce(depth, F.lit(0)).alias("depth"))
-    best = materialise(ranked(search(spread.join(depths.withColumnRenamed("query", "entry"), "entry"))).select("query", "entry", "distance"))
+    wanted = materialise(asking.select(F.col("entry").alias("query")).join(depths, "query", "left").select("query", F.coalesce("depth", F.lit(0)).alias("depth")))
+    best = None
+    while True:
+        more = materialise(ranked(search(spread.join(wanted.withColumnRenamed("query", "entry"), "entry"))).select("query", "entry", "distance"))
+        full = more.groupBy("query").agg(F.count(F.lit(1)).alias("got")).where(F.col("got") >= min(keep, n)).select("query")
+        best = more.join(full, "query", "left_semi") if best is None else best.union(more.join(full, "query", "left_semi"))
+        wanted = materialise(wanted.join(full, "query", "left_anti").where("depth > 0").withColumn("depth", F.floor(F.col("depth") / 2).cast("int")))
+        if wanted.isEmpty():
+            break  # at depth 0 everything has been compared
 
     named = best.join(found.select("entry", F.explode("ids").alias("vec_id")), "entry")
     listed = named.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id"))).where(F.col("rank") <= keep)
