@@ -9,7 +9,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TEXT_BATCH = 16 << 20  # characters handled together inside a task
+TEXT_BATCH = 4 << 20  # characters handled together inside a task
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

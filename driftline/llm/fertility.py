@@ -11,6 +11,7 @@ rows give repeated results. A text is handled whole whatever its length. Scripts
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import record_batch, text_batches, texts
-from driftline.llm.words import WordTokens, words_of
+from driftline.llm.words import WordTokens, flattened, kept, words_of
 
 # Bands per script as (least and most characters per token, most byte share, least entropy share).
 BANDS = {
@@ -63,13 +64,14 @@ class _Measured(WordTokens):
         self.is_byte = np.array([self.piece.is_byte(i) for i in range(self.piece.vocab_size())])
         self.first = np.array([a for a, _ in SCRIPT_RANGES])
         self.script = np.array([SCRIPTS.index(s) for _, s in SCRIPT_RANGES])
-        super().__init__(lambda words: self.piece.encode(words, num_threads=1))
-
-    def clear(self) -> None:
-        super().clear()
         self.letters = np.zeros((0, len(SCRIPTS)), np.int32)
+        super().__init__(lambda words: flattened(self.piece.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)))
+
+    def forget(self, keep: int) -> None:
+        super().forget(keep)
+        self.letters = self.letters[:keep].copy()
 
-    def learned(self, new: list[bytes], base: int) -> None:
+    def learned(self, new: list[bytes]) -> None:
         points = [np.frombuffer(w.decode("utf-8", "replace").encode("utf-32-le"), "<u4") for w in new]
         at = self.script[np.searchsorted(self.first, np.concatenate(points), "right") - 1]
         word = np.repeat(np.arange(len(new)), [len(p) for p in points])
@@ -124,19 +126,16 @@ def _duplicate_lines(text: str) -> int:
 
 def _measure(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None
+        known = kept(("fertility", zlib.crc32(model.value)), lambda: _Measured(model.value))
         for ids, bodies in text_batches(batches, "doc_id", "text"):
-            known = known or _Measured(model.value)
             rows = []
             split = [words_of(t) for t in bodies]
-            known.learn(w for ws in split for w in ws)
-            for doc_id, text, words in zip(ids, bodies, split):
+            for doc_id, text, words, numbers in zip(ids, bodies, split, known.numbered(split)):
                 text = text or ""
                 signs = sum(map(text.count, SYMBOLS))
                 if not words:
                     rows.append((doc_id, 0, 0, signs, 0, 0, "", 0, None, None, None))
                     continue
-                numbers = known.numbers(words)
                 chars = len(text) - sum(map(text.count, " \t\n\r\x0b\x0c"))
                 tokens = known.tokens(numbers)
                 count = np.bincount(tokens)

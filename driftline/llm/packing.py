@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import record_batch, text_batches, texts
-from driftline.llm.words import WordEndBpe, WordTokens, words_of
+from driftline.llm.words import WordEndBpe, WordTokens, kept
 from driftline.session import materialise
 
 END_ID = 1
@@ -38,6 +38,11 @@ PACKED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+def stored(vocabulary_size: int) -> str:
+    """How ids are written between the steps: in two bytes where they fit."""
+    return "<u2" if vocabulary_size <= 1 << 16 else "<u4"
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -57,37 +62,40 @@ def tokenise(docs: DataFrame, vocabulary_path: str, window: int) -> DataFrame:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None
+        def make():
+            bpe = WordEndBpe(model.value)
+            return bpe, WordTokens(bpe.ids_of)
+        bpe, known = kept(("packing", zlib.crc32(model.value.encode())), make)
         for ids, bodies in text_batches(batches, "doc_id", "text"):
-            known = known or WordTokens(WordEndBpe(model.value))
-            split = [words_of(t) for t in bodies]
-            known.learn(w for ws in split for w in ws)
             rows = []
-            for doc_id, words in zip(ids, split):
-                t = np.append(known.tokens(known.numbers(words)), np.uint32(END_ID))
+            for doc_id, numbers in zip(ids, known.numbered([bpe.split(t) for t in bodies])):
+                t = np.append(known.tokens(numbers), np.uint32(END_ID))
                 n = len(t)
                 for a in range(0, n - window + 1, window):
                     rows.append((doc_id, a, window, crc(t[a:a + window]), n, place_of(t[a:a + window]), None))
                 if n % window:
                     rest = t[n - n % window:]
-                    rows.append((doc_id, n - n % window, len(rest), None, n, place_of(rest), rest.astype("<u4").tobytes()))
+                    rows.append((doc_id, n - n % window, len(rest), None, n, place_of(rest), rest.astype(stored(len(bpe.is_end))).tobytes()))
             yield record_batch(PIECES, list(map(list, zip(*rows))))
     return texts(docs).mapInArrow(
         run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long, ids binary")
 
 
-def corpus_statistics(pieces: DataFrame) -> tuple[np.ndarray, int, float]:
+def corpus_statistics(pieces: DataFrame, kind: str) -> tuple[np.ndarray, int, float]:
     """Document frequencies per id over all pieces, their number and mean length. One row per id at most: a vocabulary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << 16, np.int64)
         n = size = 0
         for batch in batches:
-            for body in batch.column("ids").to_pylist():
-                seen = np.unique(np.frombuffer(body, "<u4"))
-                if len(seen) and seen[-1] >= len(df):
-                    df = np.append(df, np.zeros(int(seen[-1]) + 1 - len(df), np.int64))
-                df[seen] += 1
-                n, size = n + 1, size + len(body) // 4
+            bodies = batch.column("ids").to_pylist()
+            for a in range(0, len(bodies), 1024):
+                ids = np.frombuffer(b"".join(bodies[a:a + 1024]), kind)
+                lengths = [len(x) // ids.itemsize for x in bodies[a:a + 1024]]
+                key = ids.astype(np.uint64) | np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths) << np.uint64(32)
+                key.sort()
+                seen = np.bincount((key[np.append(True, key[1:] != key[:-1])] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(df))
+                df = seen + np.append(df, np.zeros(len(seen) - len(df), np.int64))
+                n, size = n + len(lengths), size + len(ids)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, size]))], names=["id", "n"])
     rows = pieces.where("ids IS NOT NULL").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
@@ -192,7 +200,9 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = 2048, shard: int =
     at most ``shard * window`` ids.
     """
     pieces = materialise(tokenise(docs, vocabulary_path, window))
-    df, n, mean = corpus_statistics(pieces)
+    with open(vocabulary_path, encoding="utf-8") as f:
+        kind = stored(len(WordEndBpe(f.read()).is_end))
+    df, n, mean = corpus_statistics(pieces, kind)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     placed = pieces.withColumn("salt", F.xxhash64("doc_id", "start"))
@@ -233,7 +243,7 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = 2048, shard: int =
                     rows.append((doc_id, start, length, check, total, number, 0))
                     number += 1
                 else:
-                    pool.append((doc_id, start, np.frombuffer(ids, "<u4"), total))
+                    pool.append((doc_id, start, np.frombuffer(ids, kind), total))
                     if len(pool) >= shard:
                         work()
             if rows:
