@@ -114,36 +114,49 @@ def encode_arrays(df: DataFrame, elements: dict[str, str]) -> DataFrame:
     return df.withColumns({c: typed(c, t) for c, t in elements.items()})
 
 
-def narrowest_types(df: DataFrame) -> dict[str, str]:
-    """Smallest exact type per numeric column, from one aggregate pass.
+def narrowest_types(df: DataFrame, tolerance: float = 0.0) -> dict[str, str]:
+    """Smallest type per numeric column that holds every value, from one aggregate pass.
 
-    Whole-valued columns take the narrowest signed integer, others float when every value survives the round trip.
+    Whole-valued columns take the narrowest signed integer, others float when every value survives the round trip;
+    what fits neither keeps its type. With ``tolerance`` a relative error up to it counts as surviving. Decimals with a
+    fraction keep their type, since no binary type holds them exactly.
     """
+    kinds = {f.name: f.dataType for f in df.schema}
     cols = numeric_columns(df)
     if not cols:
         return {}
-    d = {c: F.col(c).cast("double") for c in cols}
-    near = lambda v: F.abs(v - v.cast("float").cast("double")) <= 1e-14 + 1e-7 * F.abs(v)
-    row = df.agg(*[e for c, v in d.items() for e in (
-        F.min(v).alias(f"lo_{c}"), F.max(v).alias(f"hi_{c}"),
-        F.bool_and(F.abs(v - F.round(v)) < 1e-10).alias(f"whole_{c}"),
-        F.bool_and(near(v)).alias(f"near_{c}"))]).first()
+    inf = F.lit(float("inf"))
+
+    def facts(c: str) -> list[Column]:
+        v = F.col(c)
+        d = v.cast("double")
+        if isinstance(kinds[c], (T.FloatType, T.DoubleType)):
+            whole = (d == F.rint(d)) & (F.abs(d) < 2.0 ** 63) & ~F.isnan(d)
+            back = d.cast("float").cast("double")
+            near = F.isnan(d) | (back == d) | (F.abs(d - back) <= tolerance * F.abs(d)) & (F.abs(back) < inf)
+        else:
+            whole = v.try_cast("bigint").cast(kinds[c]) == v
+            near = F.lit(False)
+        fits = [F.bool_and(F.coalesce(v.try_cast(t).cast("decimal(38,0)") == v.try_cast("decimal(38,0)"), F.lit(False)) | v.isNull()).alias(f"{t}_{c}")
+                for t in INTEGERS]
+        return [F.count(v).alias(f"n_{c}"), F.bool_and(whole).alias(f"whole_{c}"), F.bool_and(near).alias(f"near_{c}"), *fits]
+
+    row = df.agg(*[e for c in cols for e in facts(c)]).first()
     out = {}
     for c in cols:
-        lo, hi = row[f"lo_{c}"], row[f"hi_{c}"]
-        if lo is None:
+        if not row[f"n_{c}"]:
             continue
-        if row[f"whole_{c}"]:
-            out[c] = next(t for t, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63))
-                          if -(2 ** bits) <= lo and (hi < 2 ** bits or bits == 63))
-        else:
-            out[c] = "float" if row[f"near_{c}"] else "double"
+        integer = next((t for t in INTEGERS if row[f"{t}_{c}"]), None) if row[f"whole_{c}"] else None
+        same = kinds[c].simpleString()
+        out[c] = integer or ("float" if row[f"near_{c}"] else same)
     return out
 
 
-def narrow(df: DataFrame) -> DataFrame:
-    """Numeric columns in their narrowest exact types. Large bigint values keep their type."""
-    keep = {f.name for f in df.schema if isinstance(f.dataType, T.LongType)}
-    types = {c: t for c, t in narrowest_types(df).items() if not (c in keep and t == "bigint")}
-    return df.withColumns({c: (F.round(c) if t in ("tinyint", "smallint", "int", "bigint") else F.col(c)).cast(t)
-                           for c, t in types.items()})
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def narrow(df: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Numeric columns in their narrowest types; see ``narrowest_types``."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    types = {c: t for c, t in narrowest_types(df, tolerance).items() if t != kinds[c]}
+    return df.withColumns({c: F.col(c).cast(t) for c, t in types.items()})

@@ -120,12 +120,19 @@ def _cut(pts: DataFrame, key: list[str], measures: dict[str, str], n: int, half:
 
 
 def windows_from_arrays(traces: DataFrame, entity: str, start_us: str, offsets: str, measures: dict[str, str],
-                        n: int = 50, half: int | None = None, window_gap_us: int = 10_000_000) -> DataFrame:
-    """Windows of a table that already holds one bounded row of arrays per trace; no shuffle.
+                        n: int = 50, half: int | None = None, window_gap_us: int = 10_000_000,
+                        part_points: int = 200_000) -> DataFrame:
+    """Windows of a table that holds the points of traces as arrays, one row each; no shuffle.
 
-    Rows with missing, short or unequal arrays yield nothing.
+    Rows with missing, short or unequal arrays yield nothing. With a column ``part`` a trace may continue in further
+    rows of ``part_points`` points each, at least ``n``, as ``trace_arrays`` makes them; windows then reach across its
+    rows.
     """
     half = n // 2 if half is None else half
+    if "part" in traces.columns:
+        if part_points < n:
+            raise ValueError("a row of a long trace must hold at least as many points as a window")
+        return _windows_of_parts(traces, entity, start_us, offsets, measures, n, half, window_gap_us, part_points)
     cols = [F.col(offsets), *[F.col(c) for c in measures]]
     whole = F.lit(True)
     for c in measures:
@@ -145,6 +152,42 @@ def windows_from_arrays(traces: DataFrame, entity: str, start_us: str, offsets:
         *[F.col(f"_w.{c}").alias(name) for c, name in measures.items()])
 
 
+def _windows_of_parts(traces, entity, start_us, offsets, measures, n, half, gap_us, part_points) -> DataFrame:
+    """Each row is a block of positions: it borrows the point before it and the n points after it from its neighbours.
+
+    Only these few points are shuffled to the neighbouring rows, not the histories.
+    """
+    cols = [F.col(offsets), *[F.col(c) for c in measures]]
+    whole = F.lit(True)
+    for c in measures:
+        whole = whole & ~F.exists(F.col(c), lambda x: x.isNull())
+    pts = F.transform(F.col(offsets), lambda o, i: F.struct(
+        (F.col(start_us) + o).alias("us"), *[F.get(F.col(c), i).alias(c) for c in measures]))
+    rows = traces.select(F.col(entity), F.col(start_us).alias("_start"), F.col("part").cast("long").alias("part"), pts.alias("_pts"),
+                         (A.same_length(cols) & F.coalesce(whole, F.lit(False))).alias("_ok"))
+    key = [entity, "_start"]
+    # a trace goes as a whole, as in the point form: one bad row rejects it
+    sizes = rows.groupBy(*key).agg(F.sum(F.size("_pts")).cast("long").alias("_n"), F.bool_and("_ok").alias("_all"))
+    sizes = sizes.filter(F.col("_all") & (F.col("_n") >= n)).drop("_all")
+    after = rows.filter("part > 0").select(*key, (F.col("part") - 1).alias("part"), F.slice("_pts", 1, n).alias("_after"))
+    before = rows.select(*key, (F.col("part") + 1).alias("part"), F.slice("_pts", -1, 1).alias("_before"))
+    none = F.slice("_pts", 1, 0)
+    blocks = (rows.drop("_ok").join(sizes, key).join(after, [*key, "part"], "left").join(before, [*key, "part"], "left")
+              .withColumn("_pts", F.concat(F.coalesce("_before", none), "_pts", F.coalesce("_after", none))))
+    base = F.col("part") * part_points
+
+    def cut(lead: int) -> Column:
+        return A.bind(F.col("_pts"), lambda p: F.transform(
+            _starts(p, n, lead, half, gap_us, F.col("_n"), base, part_points), lambda i: F.slice(p, i + 1, n)))
+
+    wins = blocks.select(entity, F.explode(F.when(F.col("part") == 0, cut(0)).otherwise(cut(1))).alias("_w"))
+    first = F.get(F.col("_w.us"), F.lit(0))
+    return wins.select(
+        entity, first.alias("start_us"), (F.get(F.col("_w.us"), F.lit(n - 1)) - first).alias("duration_us"),
+        F.lit(n).alias("point_count"), A.rebase(F.col("_w.us")).alias("time_offsets"),
+        *[F.col(f"_w.{c}").alias(name) for c, name in measures.items()])
+
+
 def derive_rates(wins: DataFrame, offsets: str = "time_offsets", vertical_rates: str = "vertical_rates",
                  ground_speeds: str = "ground_speeds", headings: str = "headings",
                  altitudes: str = "altitudes") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline import schemas
 from driftline.operators import density, exemplars, paths, profile, windows
-from driftline.operators.clean import encode_arrays
+from driftline.operators.clean import encode_arrays, keep_last, keep_richest
 from driftline.operators.coding import Coder
 from driftline.operators.summaries import trace_summary
 from driftline.operators.traces import GapRule, trace_arrays
@@ -48,10 +48,16 @@ def snapshot_traces(points: DataFrame, unit: str, gap_us: int = TEN_MINUTES, chu
         F.transform("time_offsets", lambda o: o + F.col("start_us")).alias("timestamp"), *schemas.SNAPSHOT_TRACE_ARRAYS)
 
 
+def distinct_points(points: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """One point per (entity, time): repeated files repeat points, and the fullest copy stays."""
+    order = [c for c in ("source_file_path",) if c in points.columns] or [s.ts]
+    return keep_richest(points, [s.entity, s.ts], order)
+
+
 def point_traces(points: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Typed array rows per trace from trace points, traces of at least the least duration."""
     rule = GapRule(s.entity, s.ts, s.gap_us)
-    t = trace_arrays(points, rule, list(schemas.TRACE_ARRAYS), schemas.TRACE_SCALARS, s.min_duration_us)
+    t = trace_arrays(distinct_points(points, s), rule, list(schemas.TRACE_ARRAYS), schemas.TRACE_SCALARS, s.min_duration_us)
     t = t.withColumn("start_timestamp", F.timestamp_micros("start_us")).drop("trace_no", "end_us")
     return encode_arrays(t, schemas.TRACE_ARRAYS)
 
@@ -59,7 +65,7 @@ def point_traces(points: DataFrame, s: Settings = Settings()) -> DataFrame:
 def trace_features(points: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Mean, deviation, extremes and median of the main measures per trace."""
     rule = GapRule(s.entity, s.ts, s.gap_us)
-    return trace_summary(points, rule, schemas.SUMMARY_MEASURES, s.min_duration_us)
+    return trace_summary(distinct_points(points, s), rule, schemas.SUMMARY_MEASURES, s.min_duration_us)
 
 
 def day_report(points: DataFrame, s: Settings = Settings(), minutes: int = 15, top: int = 10) -> dict[str, DataFrame]:
@@ -77,10 +83,11 @@ def day_report(points: DataFrame, s: Settings = Settings(), minutes: int = 15, t
 
 
 def training_windows(points: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Numbered windows with rates of change, one per (entity, start)."""
+    """Numbered windows with rates of change, one per (entity, start), of points made distinct first."""
     rule = GapRule(s.entity, s.ts, s.gap_us)
-    w = windows.windows(points, rule, schemas.WINDOW_MEASURES, n=s.points, window_gap_us=s.window_gap_us,
+    w = windows.windows(distinct_points(points, s), rule, schemas.WINDOW_MEASURES, n=s.points, window_gap_us=s.window_gap_us,
                         min_duration_us=s.min_duration_us)
+    w = keep_last(w, [s.entity, "start_us"], ["duration_us"])
     return windows.assign_segment_id(windows.derive_rates(w), [s.entity, "start_us"])
 
 

@@ -132,15 +132,19 @@ def partitioned_table(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("rows"), F.min("c_custkey").alias("lowest")))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE 'old' END AS state FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE 'old' END AS state, c_name AS note,
+CASE WHEN c_custkey % 4 = 0 THEN c_acctbal END AS balance FROM customer""")
 def partition_upsert(spark, sf_dir):
+    """A stored column the incoming rows lack stays; one that only they have is added."""
     path = scratch_path(spark, "upsert")
-    ids = hex_ids(spark, sf_dir).select("c_custkey", F.md5(F.col("c_custkey").cast("string")).alias("id"))
-    tables.write_partitioned(ids.withColumn("state", F.lit("old")), path, "id", "c_custkey")
-    new = ids.filter(F.col("c_custkey") % 4 == 0).withColumns(
-        {"state": F.lit("new"), "hex_prefix": F.substring("id", 1, 2)})
+    ids = table(spark, sf_dir, "customer").select("c_custkey", F.md5(F.col("c_custkey").cast("string")).alias("id"), "c_name", "c_acctbal")
+    old = ids.select("c_custkey", "id", F.lit("old").alias("state"), F.col("c_name").alias("note"))
+    tables.write_partitioned(old, path, "id", "c_custkey")
+    new = ids.filter(F.col("c_custkey") % 4 == 0).select("c_custkey", "id", F.lit("new").alias("state"), F.col("c_acctbal").alias("balance"),
+                                                         F.substring("id", 1, 2).alias("hex_prefix"))
     tables.upsert_partitions(spark, path, new, ["c_custkey"], ["state"])
-    return spark.read.schema(new.schema).parquet(path).select("c_custkey", "state")
+    return (spark.read.schema("c_custkey bigint, state string, note string, balance double, hex_prefix string").parquet(path)
+            .select("c_custkey", "state", "note", "balance"))
 
 
 @query("SELECT 'l_returnflag' AS column_name, count(DISTINCT l_returnflag) AS distinct_count FROM lineitem "
@@ -176,12 +180,15 @@ def stream_sessions(spark, sf_dir):
 
 @query("SELECT event_id, user_id, value FROM events")
 def stream_dedupe(spark, sf_dir):
-    """The event stream joined with a copy of itself, repeats removed."""
-    twice = event_stream(spark, sf_dir).unionByName(event_stream(spark, sf_dir))
-    out = flows.without_repeats(twice, "ts", ["event_id"]).select("event_id", "user_id", "value")
+    """Events arrive twice, in files out of time order, one or two a batch; repeats are left out and no row is lost."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "ts")
+    files = scratch_path(spark, "arrivals")
+    mixed = F.pmod(F.xxhash64("event_id"), F.lit(1000))
+    ev.unionByName(ev).repartitionByRange(6, mixed).write.parquet(files)
+    arriving = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(files)
     path = scratch_path(spark, "dedupe")
-    flows.run_available(out, path, scratch_path(spark, "dedupe-state"))
-    return spark.read.schema(out.schema).parquet(path)
+    flows.merge_available(arriving, path, scratch_path(spark, "dedupe-state"), ["event_id"], ["ts"])
+    return spark.read.parquet(path).select("event_id", "user_id", "value")
 
 
 @query("""
@@ -198,3 +205,11 @@ def traces_from_snapshots(spark, sf_dir):
     pts = pts.groupBy(*schemas.SNAPSHOT_KEY).agg(F.min("actual_timestamp").alias("actual_timestamp"))
     rule = GapRule("hex", "actual_timestamp", 24 * 60 * MINUTE, unit="s", tiebreak=("snapshot_timestamp",))
     return traces(pts, rule).select("hex", "start_us", "point_count")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem")
+def parquet_round_trip(spark, sf_dir):
+    """Written by the sink, read back as a table."""
+    path = scratch_path(spark, "sink")
+    tables.write_parquet(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), path, 10_000)
+    return tables.read_table(spark, path)

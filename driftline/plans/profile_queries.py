@@ -176,10 +176,14 @@ def kendall_matrix(spark, sf_dir):
     return correlate.kendall(table(spark, sf_dir, "lineitem"), FEW)
 
 
-@query()
+@query("""
+WITH p AS (SELECT sign(a.o_totalprice - b.o_totalprice) AS x, sign(a.o_custkey - b.o_custkey) AS y
+           FROM orders a JOIN orders b ON a.o_orderkey < b.o_orderkey)
+SELECT 'o_totalprice' AS var_1, 'o_custkey' AS var_2,
+       round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)::DOUBLE), 4) AS correlation FROM p""")
 def kendall_continuous(spark, sf_dir):
-    """Continuous columns over the whole table: quadratic in SQL, so checked by brute force on a fixture."""
-    return correlate.kendall(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], group_rows=20_000)
+    """All pairs of orders; the small group limit makes the value ranges of the general method do the work."""
+    return correlate.kendall(table(spark, sf_dir, "orders"), ["o_totalprice", "o_custkey"], group_rows=500)
 
 
 @query("""SELECT least(floor((l_quantity - 0) / (50.0 / 25)), 24)::INTEGER AS bin_x,
@@ -364,12 +368,37 @@ def ground_altitude(spark, sf_dir):
     return ev.select("event_id", S.altitude_or_ground(alt).alias("altitude"))
 
 
-@query("""SELECT column_name, data_type FROM (VALUES ('l_orderkey', 0), ('l_linenumber', 0), ('l_quantity', 0)) t(column_name, k),
-(SELECT CASE WHEN max(l_orderkey) <= 127 THEN 'tinyint' WHEN max(l_orderkey) <= 32767 THEN 'smallint' ELSE 'int' END AS a,
-  'tinyint' AS b FROM lineitem) s, LATERAL (SELECT CASE WHEN column_name = 'l_orderkey' THEN a ELSE b END AS data_type) u""")
+NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def narrow_sql(c: str) -> str:
+    return f"""SELECT '{c}' AS column_name, CASE WHEN bool_and({c} = round({c}) AND abs({c}) < 9e18) THEN
+    CASE WHEN min({c}) >= -128 AND max({c}) <= 127 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint'
+         WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'int' ELSE 'bigint' END
+  WHEN bool_and({c}::DOUBLE::FLOAT::DOUBLE = {c}::DOUBLE) THEN 'float' ELSE 'double' END AS data_type, sum({c}::DOUBLE) > 0 AS kept FROM lineitem"""
+
+
+@query(" UNION ALL ".join(narrow_sql(c) for c in NUMBERS))
 def narrowest_types(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    types = clean.narrow(li).schema
-    names = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"))
-                      for f in types])
-    return li.agg(F.count(F.lit(1)).alias("n")).select(F.inline(names))
+    """All numeric columns; ``kept``: the sum over the narrowed column equals that over the stored one."""
+    li = table(spark, sf_dir, "lineitem").select(*NUMBERS)
+    small = clean.narrow(li)
+    sums = lambda df, tag: df.agg(*[F.sum(F.col(c).cast("decimal(38,4)")).alias(f"{tag}_{c}") for c in NUMBERS])
+    both = sums(li, "a").crossJoin(sums(small, "b"))  # one row each
+    names = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+                               (F.col(f"a_{f.name}") == F.col(f"b_{f.name}")).alias("kept")) for f in small.schema])
+    return both.select(F.inline(names))
+
+
+@query("SELECT least(count(*), 100) AS n FROM lineitem")
+def plain_limit(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").limit(100).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, epoch_us(ts) // 1000 AS ms, typed FROM (SELECT o_orderkey, o_orderdate::TIMESTAMP AS ts, "
+       "try_cast(regexp_replace(o_orderpriority, '-.*', '') AS INTEGER) AS typed FROM orders)")
+def typed_casts(spark, sf_dir):
+    """Text cast to numbers where it fits, times to milliseconds."""
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.regexp_replace("o_orderpriority", "-.*", "").alias("typed"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    return clean.cast_columns(o, {"typed": "int"}).select("o_orderkey", F.unix_millis("ts").alias("ms"), "typed")

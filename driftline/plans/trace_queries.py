@@ -13,6 +13,7 @@ from driftline.functions import scalars as S
 from driftline.operators import checks, paths, windows
 from driftline.operators.summaries import trace_summary
 from driftline.operators.traces import GapRule, gap_flags, locate, trace_arrays, traces
+from driftline.plans import chain
 from driftline.plans.registry import query, table
 
 HOUR = 3_600_000_000
@@ -143,6 +144,29 @@ def trace_windows(spark, sf_dir):
         as_text("ground_speeds", 2), as_text("headings", 1))
 
 
+CHAIN_SQL = WINDOWS_SQL + f"""
+SELECT user_id, start_us, duration_us, {text_sql('time_offsets')}, {text_sql('ground_speeds', 2)} FROM ww"""
+
+
+@query(CHAIN_SQL)
+def chain_windows(spark, sf_dir):
+    """Every third point arrives twice, one copy with less in it; windows are those of the points made distinct."""
+    ev = events(spark, sf_dir)
+    poorer = ev.filter(F.col("event_id") % 3 == 0).withColumn("value", F.lit(None).cast("double"))
+    points = chain.distinct_points(ev.unionByName(poorer), chain.Settings(entity="user_id", ts="ts"))
+    w = windows.windows(points, RULE, {"value": "ground_speeds", "heading": "headings"}, n=N, window_gap_us=12 * HOUR)
+    return w.select("user_id", "start_us", "duration_us", as_text("time_offsets"), as_text("ground_speeds", 2))
+
+
+@query(CHAIN_SQL)
+def windows_of_part_rows(spark, sf_dir):
+    """Traces stored as array rows of 12 points each, so that most windows reach across rows."""
+    t = trace_arrays(events(spark, sf_dir), RULE, ["value", "heading"], part_points=12)
+    w = windows.windows_from_arrays(t, "user_id", "start_us", "time_offsets", {"value": "ground_speeds", "heading": "headings"},
+                                    n=N, window_gap_us=12 * HOUR, part_points=12)
+    return w.select("user_id", "start_us", "duration_us", as_text("time_offsets"), as_text("ground_speeds", 2))
+
+
 @query("""
 WITH p AS (SELECT user_id, epoch_us(ts) AS us, nullif(value, round(value)) AS v FROM events),
 g AS (SELECT *, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS d FROM p),

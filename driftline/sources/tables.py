@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators.clean import keep_last
+from driftline.session import materialise
 
 
 def read_table(spark: SparkSession, name: str, jdbc: dict[str, str] | None = None,
@@ -56,11 +57,25 @@ def write_partitioned(df: DataFrame, path: str, id_col: str, ts_col: str, digits
 
 def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], order: list[str],
                       prefix_col: str = "hex_prefix") -> None:
-    """Upsert into a partitioned table, reading and rewriting only the folders the incoming rows belong to."""
+    """Upsert into a partitioned table, reading and rewriting only the folders the incoming rows belong to.
+
+    The table keeps its columns: one that the incoming rows lack stays as stored, NULL on new keys; one that only they
+    have is added, NULL on old rows. The merged rows are written to the shared scratch folder before they replace the
+    folders they were read from, so a failed run can be repeated from there and never reads what it overwrites.
+    """
     latest = keep_last(incoming, keys, order)
     touched = [r[0] for r in latest.select(prefix_col).distinct().collect()]  # at most one per folder
-    old = spark.read.schema(incoming.schema).parquet(path).filter(F.col(prefix_col).isin(touched))
-    merged = old.join(latest.select(*keys), keys, "left_anti").select(*incoming.columns).unionByName(latest)
+    stored = spark.read.option("mergeSchema", "true").parquet(path).schema
+    named = set(stored.names)
+    old = (spark.read.schema(stored).parquet(path).withColumn(prefix_col, F.col(prefix_col).cast(incoming.schema[prefix_col].dataType))
+           .filter(F.col(prefix_col).isin(touched)))
+    lacking = [f.name for f in stored if f.name not in incoming.columns]
+    if lacking:
+        latest = latest.join(old.select(*keys, *lacking), keys, "left")
+    added = [f for f in incoming.schema if f.name not in named]
+    untouched = old.join(latest.select(*keys), keys, "left_anti").withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})
+    columns = [c for c in (*stored.names, *[f.name for f in added]) if c != prefix_col] + [prefix_col]
+    merged = materialise(untouched.select(*columns).unionByName(latest.select(*columns)))
     (merged.repartitionByRange(prefix_col, *keys).sortWithinPartitions(prefix_col, *keys)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(prefix_col).parquet(path))
 

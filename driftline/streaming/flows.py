@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from driftline import schemas
+from driftline.operators.clean import keep_first
 from driftline.sources.reports import explode_snapshots, snapshot_points
 
 
@@ -18,10 +21,35 @@ def snapshot_stream(spark: SparkSession, path: str, one_per_file: bool = True) -
 
 
 def without_repeats(stream: DataFrame, event_time: str, keys: list[str], delay: str = "1 hour") -> DataFrame:
-    """First row per key within the watermark. Which of several copies in one batch survives is not determined."""
+    """First row per key within the watermark, for live streams whose lateness is bounded by ``delay``.
+
+    Rows later than that are thrown away, on which ``run_available`` fails. Files in any order are merged by
+    ``merge_available`` instead. Which of several copies in one batch survives is not determined.
+    """
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def merge_available(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> None:
+    """Insert-ignore everything that has arrived into a parquet table, whatever its order in time; then stop.
+
+    A row whose key is stored is left out; among new ones of a key the first in ``order`` enters. Each batch has a
+    folder of its own, overwritten if the batch is repeated after a failure, so no row is lost or written twice.
+    Keys must not be NULL.
+    """
+    spark = stream.sparkSession
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+
+    def add(batch: DataFrame, number: int) -> None:
+        fresh = keep_first(batch, keys, order)
+        if number > 0:
+            stored = spark.read.schema(plain + ", _batch bigint").parquet(path).where(F.col("_batch") < number)
+            fresh = fresh.join(stored.select(*keys), keys, "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{path}/_batch={number}")
+
+    w = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    w.trigger(availableNow=True).start().awaitTermination()
+
+
 def session_traces(stream: DataFrame, entity: str, event_time: str, gap: str = "10 minutes",
                    delay: str = "10 minutes") -> DataFrame:
     """Closed traces. A point exactly ``gap`` after the last one still belongs to it, as in the batch form."""
@@ -32,10 +60,22 @@ def session_traces(stream: DataFrame, entity: str, event_time: str, gap: str = "
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] = ()) -> StreamingQuery:
-    """Process everything that has arrived, append it to a parquet table, and stop. Safe to repeat."""
+    """Process everything that has arrived, append it to a parquet table, and stop. Safe to repeat.
+
+    Fails if a watermark threw rows away: the table would then be incomplete without anyone knowing.
+    """
     w = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if partition_by:
         w = w.partitionBy(*partition_by)
     q = w.trigger(availableNow=True).start(path)
     q.awaitTermination()
+    dropped = sum(int(op.get("numRowsDroppedByWatermark", 0)) for progress in map(_as_dict, q.recentProgress)
+                  for op in progress.get("stateOperators", []))
+    if dropped:
+        raise RuntimeError(f"{dropped} rows came later than the watermark allows and were dropped; "
+                           f"allow a longer delay or use merge_available")
     return q
+
+
+def _as_dict(progress) -> dict:
+    return progress if isinstance(progress, dict) else json.loads(progress.json)

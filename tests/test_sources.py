@@ -111,10 +111,23 @@ def test_scalars(spark):
 def test_narrow_types(spark):
     df = spark.createDataFrame([(1, 300, -70000, 0.5, 0.1, 2.0 ** 40), (2, -1, 5, 1.25, 0.2, 1.0)],
                                "a bigint, b bigint, c bigint, d double, e double, f double")
-    assert clean.narrowest_types(df) == {"a": "tinyint", "b": "smallint", "c": "int", "d": "float", "e": "float", "f": "bigint"}
+    # 0.1 as float would be 0.10000000149: exact by default, near enough only on request
+    assert clean.narrowest_types(df) == {"a": "tinyint", "b": "smallint", "c": "int", "d": "float", "e": "double", "f": "bigint"}
+    assert clean.narrowest_types(df, tolerance=1e-7)["e"] == "float"
     assert clean.narrow(df).orderBy("a").first().asDict()["b"] == 300
 
 
+def test_narrow_keeps_what_fits_no_smaller_type(spark):
+    df = spark.createDataFrame([(1e20, -1e20, 0.1, None, 5.0, float("nan"), 2.0 ** 63), (1.0, 2.0, 0.5, None, None, 1.0, 1.0)],
+                               "a double, b double, c double, d double, e double, f double, g double").withColumns(
+        {"m": F.lit("1.25").cast("decimal(10,2)"), "w": F.lit("7.00").cast("decimal(10,2)"), "big": F.lit(2 ** 62 + 1).cast("bigint")})
+    got = clean.narrowest_types(df)
+    assert got == {"a": "double", "b": "double", "c": "double", "e": "tinyint", "f": "float", "g": "float", "m": "decimal(10,2)", "w": "tinyint", "big": "bigint"}
+    back = clean.narrow(df).select("a", "b", "c", "e", "g", "m", "big").collect()
+    assert [tuple(r) for r in back] == [tuple(r) for r in df.select("a", "b", "c", "e", "g", "m", "big").collect()]
+    assert clean.narrow(df.limit(0)).columns == df.columns
+
+
 def test_partitioned_write_spreads_a_hot_prefix(spark, tmp_path):
     path = f"{tmp_path}/t"
     df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, "aa0001").otherwise(F.md5(F.col("id").cast("string"))).alias("icao"),
