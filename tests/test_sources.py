@@ -211,3 +211,26 @@ def test_table_forms(spark, tmp_path):
     full = snaps.withColumns({c: F.lit(None).cast(t) for c, t in schemas.SNAPSHOT_POINTS.items() if c not in snaps.columns})
     got = chain.snapshot_traces(full, "s").orderBy("time_stamp_start").collect()
     assert [(x.point_count, x.duration, len(x.latitude)) for x in got] == [(3, 600, 3), (1, 0, 1)]
+
+
+def test_streams_lose_no_row_silently(spark, tmp_path):
+    """400 rows in four files out of time order."""
+    rows = [(i, f"2024-01-0{d} 00:00:{i % 60:02d}") for k, d in enumerate((4, 1, 3, 2)) for i in range(100 * k, 100 * k + 100)]
+    for k in range(4):
+        part = spark.createDataFrame(rows[100 * k:100 * k + 100], "id long, t string").select("id", F.col("t").cast("timestamp").alias("t"))
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema("id long, t timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    flows.merge_available(read(), f"{tmp_path}/merged", f"{tmp_path}/c1", ["id"], ["t"])
+    assert spark.read.parquet(f"{tmp_path}/merged").count() == 400
+    flows.merge_available(read(), f"{tmp_path}/merged", f"{tmp_path}/c1", ["id"], ["t"])  # nothing new
+    assert spark.read.parquet(f"{tmp_path}/merged").count() == 400
+    with pytest.raises(RuntimeError, match="dropped"):
+        flows.run_available(flows.without_repeats(read(), "t", ["id"]), f"{tmp_path}/cut", f"{tmp_path}/c2")
+
+
+def test_scratch_is_cleared(spark):
+    from driftline.session import clear_scratch, materialise
+    clear_scratch(spark)
+    df = materialise(spark.range(5))
+    assert df.count() == 5 and clear_scratch(spark) == 1 and clear_scratch(spark) == 0
+    assert not os.path.exists(df.inputFiles()[0].removeprefix("file:"))
