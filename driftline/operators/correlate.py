@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -16,19 +18,62 @@ from driftline.session import materialise
 SCHEMA = "var_1 string, var_2 string, correlation double"
 
 
+MOMENTS = "i int, j int, n double, mx double, my double, sxx double, syy double, sxy double, odd boolean"
+
+
+def _moments(k: int):
+    """Counts, means and centred sums of every pair of ``k`` columns over one task's rows where both are present."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift, sums = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            here = np.column_stack([~np.asarray(c.is_null()) for c in batch.columns]).astype(float)
+            nan = np.isnan(v) & (here > 0)
+            v = np.where((here > 0) & ~nan, v, 0.0)
+            if shift is None:  # sums of values near 0 keep their digits
+                shift = v.sum(axis=0) / np.maximum(here.sum(axis=0), 1)
+            v = (v - shift) * here
+            part = np.stack([here.T @ here, v.T @ here, (v * v).T @ here, v.T @ v, nan.astype(float).T @ here])
+            sums = part if sums is None else sums + part
+        if sums is None:
+            return
+        n, sx, sxx, sxy, nan = sums
+        rows = []
+        for i in range(k):
+            for j in range(i, k):
+                c = n[i, j]
+                if c:
+                    mx, my = sx[i, j] / c, sx[j, i] / c
+                    rows.append((i, j, c, mx + shift[i], my + shift[j], sxx[i, j] - c * mx * mx, sxx[j, i] - c * my * my,
+                                 sxy[i, j] - c * mx * my, bool(nan[i, j] or nan[j, i])))
+        if rows:
+            names = [x.split()[0] for x in MOMENTS.split(", ")]
+            kinds = [pa.int32()] * 2 + [pa.float64()] * 6 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
+    return run
+
+
 def pearson(df: DataFrame, cols: list[str], digits: int = 4) -> DataFrame:
     """Upper triangle with diagonal as rows, each pair over the rows where both are present.
 
-    One pass. Rows are spread to pairs and combined map-side again, which keeps the aggregate small enough to be
-    compiled, where one aggregate with an expression per pair is not.
+    One pass without copying a row: each task reduces its rows to a few numbers per pair by matrix products, and these
+    are merged. NaN gives NaN, a constant column NULL.
     """
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    num = {c: F.col(c).cast("double") for c in cols}
-    spread = F.inline(F.array(*[F.struct(
-        F.lit(a).alias("var_1"), F.lit(b).alias("var_2"), num[a].alias("x"), num[b].alias("y")) for a, b in pairs]))
-    rows = df.select(spread).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return rows.groupBy("var_1", "var_2").agg(F.round(F.try_divide(
-        F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")), digits).alias("correlation"))
+    num = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    # one small record per task and pair
+    part = (num.mapInArrow(_moments(len(cols)), MOMENTS).groupBy("i", "j")
+            .agg(F.collect_list(F.struct("n", "mx", "my", "sxx", "syy", "sxy")).alias("parts"), F.bool_or("odd").alias("odd")))
+    total = lambda f: F.aggregate("parts", F.lit(0.0), lambda a, p: a + f(p))
+    means = part.select("*", (total(lambda p: p.n * p.mx) / total(lambda p: p.n)).alias("_mx"), (total(lambda p: p.n * p.my) / total(lambda p: p.n)).alias("_my"))
+    # around the common mean: inside each part, and of the parts' means
+    around = lambda s, a, b: total(lambda p: p[s] + p.n * (p[f"m{a}"] - F.col(f"_m{a}")) * (p[f"m{b}"] - F.col(f"_m{b}")))
+    one = means.select("i", "j", "odd", around("sxy", "x", "y").alias("sxy"), around("sxx", "x", "x").alias("sxx"), around("syy", "y", "y").alias("syy"))
+    name = lambda c: F.get(F.lit(list(cols)), F.col(c))
+    flat = lambda c: F.when(F.col(c) > 0, F.col(c))
+    r = F.when(F.col("odd"), F.lit(float("nan"))).otherwise(F.col("sxy") / (F.sqrt(flat("sxx")) * F.sqrt(flat("syy"))))
+    return one.select(name("i").alias("var_1"), name("j").alias("var_2"), F.round(r, digits).alias("correlation"))
 
 
 def strong_pairs(corr: DataFrame, threshold: float = 0.7) -> DataFrame:
