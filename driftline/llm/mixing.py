@@ -7,7 +7,8 @@ the weight is the document's quality: its words over its words and symbols. Size
 budget, and the document at the boundary gives only the words still missing.
 
 Keys are binned by a monotone function, so a running sum is one over bin totals and one inside a (source, bin) group:
-no source, however large, is ordered in one task. The number of bins never changes a result.
+no source, however large, is ordered in one task. A source has the square root of its documents in bins; their number
+never changes a result.
 
 Defined cases: a null text has size 0 and takes 0. A null source is a source of its own, after all others. Rows with equal keys
 are ordered by id and size, so repeated rows share what is taken in one defined way. Without words every target is 0.
@@ -23,7 +24,7 @@ from driftline.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
-BIN_ROWS = 50_000
+BIN_SHARE = 1.0  # bins of a source, in square roots of its documents: as many bins as rows in each
 
 
 def uniform(seed: str, doc_id: Column) -> Column:
@@ -63,7 +64,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     sized = materialise(sized.select("doc_id", "source", "size", (-F.log(uniform(seed, F.col("doc_id"))) / quality).alias("key")))
     goals = targets(sized, list(weights), cap)
 
-    bins = F.greatest(F.lit(1), F.ceil(F.col("docs") / BIN_ROWS))
+    bins = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("docs").cast("double")) * BIN_SHARE))
     placed = (sized.withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
               .join(goals.withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit(""))), ["no_source", "source"])
               .withColumn("bin", F.least(bins - 1, F.floor(bins * (1 - F.exp(-F.col("key")))))))
