@@ -38,7 +38,8 @@ class GapRule:
 
 
 def _tiled(df: DataFrame, rule: GapRule) -> DataFrame:
-    return (df.withColumn("_us", as_micros(df, rule.ts, rule.unit))
+    """Points in their time tiles. A point without an entity belongs to no trace, in every form."""
+    return (df.filter(F.col(rule.entity).isNotNull()).withColumn("_us", as_micros(df, rule.ts, rule.unit))
             .withColumn("_tile", F.floor(F.col("_us") / F.lit(rule.width)).cast("long")))
 
 

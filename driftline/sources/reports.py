@@ -80,9 +80,17 @@ def _plain_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": pdf["path"], "text": [text(bytes(b)) for b in pdf["content"]]})
 
 
-def read_trace_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of trace files, compressed or not whatever their name says."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+def read_trace_files(spark: SparkSession, path: str, begin: datetime | None = None, end: datetime | None = None,
+                     prefixes: list[str] | None = None) -> DataFrame:
+    """(path, text) of trace files, compressed or not whatever their name says.
+
+    With ``begin`` and ``end`` only the day folders between them, and with ``prefixes`` only the folders below a day
+    (or below ``path``) that are named so, are listed and opened.
+    """
+    where = day_glob(path, begin, end) if begin and end else path
+    if prefixes:
+        where += f"/{{{','.join(prefixes)}}}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where).select("path", "content")
     return files.mapInPandas(_plain_text, "path string, text string")
 
 
@@ -116,8 +124,9 @@ def explode_trace_points(files: DataFrame) -> DataFrame:
     return el.select(*[(values[c] if c in values else F.col(f"m.{c}")).alias(c) for c in schemas.TRACE_POINTS])
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    return explode_trace_points(read_trace_files(spark, path))
+def read_traces(spark: SparkSession, path: str, begin: datetime | None = None, end: datetime | None = None,
+                prefixes: list[str] | None = None) -> DataFrame:
+    return explode_trace_points(read_trace_files(spark, path, begin, end, prefixes))
 
 
 def rejected(files: DataFrame) -> DataFrame:
