@@ -54,7 +54,7 @@ class _Hashes(dict):
 class Shingler:
     """Sorted distinct shingle hashes of a text."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 300_000):
         self.known, self.limit = _Hashes(), limit
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -206,7 +206,8 @@ def _links(overlap, n, m):
 def linked_nodes(sets: DataFrame) -> DataFrame:
     """Edges a, b over the nodes of ``sets`` (node, n, tokens) that give the components of all links."""
     pairs = sets.select("node", F.explode("tokens").alias("token"))
-    common = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # written out, so that the join with it can split a token of many sets
+    common = materialise(pairs.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     ordered = (pairs.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
                .join(sets.select("node", "n"), "node"))
     lone = F.col("n") - F.size("own")  # tokens no other set has come first
@@ -218,7 +219,7 @@ def linked_nodes(sets: DataFrame) -> DataFrame:
 
     # leaders
     drawn = nodes.select("node", "lone", F.explode("sample").alias("token"))
-    least = drawn.groupBy("token").agg(F.min(F.struct("lone", "node")).alias("first")).select("token", F.col("first.node").alias("leader"))
+    least = materialise(drawn.groupBy("token").agg(F.min(F.struct("lone", "node")).alias("first")).select("token", F.col("first.node").alias("leader")))
     votes = drawn.join(least, "token").where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", (-F.col("leader")).alias("back"))), asc=False), 1, 2).alias("best"))
     tried = best.select("node", F.explode("best").alias("b")).select("node", (-F.col("b.back")).alias("leader"))
