@@ -155,7 +155,7 @@ def test_mixing(spark, odd):
 def test_mixing_bins_change_nothing(spark, monkeypatch):
     docs = documents(spark, [(i, "w " * (i % 7 + 1), "en", "s" if i % 3 else None) for i in range(300)])
     one = sorted(map(tuple, mixing.mix(docs).collect()))
-    monkeypatch.setattr(mixing, "BIN_ROWS", 7)
+    monkeypatch.setattr(mixing, "BIN_SHARE", 5.0)
     assert sorted(map(tuple, mixing.mix(docs).collect())) == one
 
 
