@@ -297,14 +297,17 @@ def rotated_paths(spark, sf_dir):
 
 @query(ROTATED_SQL + """,
 lab AS (SELECT user_id, start_us, (start_us % 3)::INTEGER AS cluster FROM ww)
-SELECT lab.user_id, lab.start_us, cluster, point_idx::INTEGER AS point_idx, z, time_sec
+SELECT lab.user_id, lab.start_us, cluster, point_idx::INTEGER AS point_idx, round(x, 1) + 0.0 AS x, round(y, 1) + 0.0 AS y, z,
+  heading_deg, ground_speed, time_sec, round(original_x, 1) + 0.0 AS original_x, round(original_y, 1) + 0.0 AS original_y
 FROM lab LEFT JOIN rot USING (user_id, start_us)""")
 def labelled_paths(spark, sf_dir):
     rot = paths.rotate_to_y(event_paths(spark, sf_dir), KEYS).withColumn("key", F.struct(*KEYS)).drop(*KEYS)
     lab = event_windows(spark, sf_dir).select(
         F.struct(*KEYS).alias("key"), (F.col("start_us") % 3).cast("int").alias("cluster"))
+    one = lambda c: (F.round(c, 1) + 0.0).alias(c)
     return paths.label_paths(lab, rot, "key").select(
-        "key.user_id", "key.start_us", "cluster", "point_idx", "z", "time_sec")
+        "key.user_id", "key.start_us", "cluster", "point_idx", one("x"), one("y"), "z", "heading_deg", "ground_speed",
+        "time_sec", one("original_x"), one("original_y"))
 
 
 @query(WINDOWS_SQL + """SELECT 0.0::DOUBLE AS max_difference FROM (SELECT count(*) FROM ww) WHERE true""")
