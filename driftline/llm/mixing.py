@@ -52,16 +52,17 @@ def targets(sized: DataFrame, weights: list[int], cap: int) -> DataFrame:
     return sources.select("source", "source_size", "docs", F.when(share > limit, limit.cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix", whole: bool = False) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words, repeats counted).
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix", whole: bool = False,
+        carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken (words, repeats counted), and columns to ``carry``.
 
     With ``whole`` the boundary document is taken whole if at least half of it fits the budget, else not at all.
     """
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words, symbols = F.regexp_count(body, F.lit(WORD)).cast("long"), F.regexp_count(body, F.lit(SYMBOL)).cast("long")
-    sized = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), symbols.alias("symbols")))
+    sized = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), symbols.alias("symbols"), *carry))
     quality = (F.col("size") + 1).cast("double") / (F.col("size") + F.col("symbols") + 1).cast("double")
-    sized = materialise(sized.select("doc_id", "source", "size", (-F.log(uniform(seed, F.col("doc_id"))) / quality).alias("key")))
+    sized = materialise(sized.select("doc_id", "source", "size", (-F.log(uniform(seed, F.col("doc_id"))) / quality).alias("key"), *carry))
     goals = targets(sized, list(weights), cap)
 
     bins = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("docs").cast("double")) * BIN_SHARE))
@@ -71,7 +72,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     group = ["no_source", "source", "bin"]
     totals = placed.groupBy(*group).agg(F.sum("size").alias("bin_size"))
     before = totals.select(*group, (F.sum("bin_size").over(Window.partitionBy("no_source", "source").orderBy("bin")) - F.col("bin_size")).alias("earlier"))
-    inside = Window.partitionBy(*group).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*group).orderBy("key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.withColumn("running", F.sum("size").over(inside)).join(before, group)
 
     size, goal = F.col("size"), F.floor(F.col("target") + 0.5).cast("long")
@@ -80,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, see
     room = budget - (F.col("earlier") + F.col("running") - size)  # what the budget still holds when this document comes
     part = F.when(2 * room >= size, size).otherwise(0) if whole else F.least(size, room)
     taken = epochs * size + F.when(room > 0, part).otherwise(0)
-    return summed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return summed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -89,8 +90,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Documents are told apart by a row number written beside them, so repeated ids stay repeated rows.
     """
     numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    plain = numbered.select(F.col("_row").alias("doc_id"), "source", "text")
-    times = mix(plain, whole=True, **options).where("size > 0").select(F.col("doc_id").alias("_row"), (F.col("taken") / F.col("size")).cast("int").alias("_n")).where("_n > 0")
+    plain = numbered.select("doc_id", "source", "text", "_row")
+    times = mix(plain, whole=True, carry=("_row",), **options).where("size > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_n")).where("_n > 0")
     return (numbered.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_row", "_n", "_copy"))
 
 
