@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import record_batch, text_batches, texts
+from driftline.llm.common import record_batch, text_batches, texts, tidy
 from driftline.llm.components import components
 from driftline.llm.words import kept, words_of
 from driftline.session import broadcast_if_small, materialise
@@ -158,6 +158,7 @@ def _meet(parts: int):
         part = (node.view(np.uint64) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         pieces = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
+        tidy()
         return pa.table({"part": pa.array([int(part[p[0]]) for p in pieces], pa.int64()), "nodes": pa.array([node[p].tobytes() for p in pieces], pa.binary()),
                          "times": pa.array([times[p].astype(np.int64).tobytes() for p in pieces], pa.binary())})
     return meet

@@ -3,7 +3,7 @@
 Texts are lower-cased, everything but letters becomes one space, and runs of 1 to 3 characters are hashed into a fixed
 table. Document frequencies cover all training documents. The weights are learned by follow-the-regularised-leader
 with an elastic net (L1 for sparsity, L2 for size) from a bounded sample: at most ``rows_per_label`` distinct texts a
-label, chosen by a hash of the text. A fifth of the sample is kept from training and sets the temperature that
+label and about ``sample_chars`` characters in all, chosen by a hash of the text. A fifth of the sample is kept from training and sets the temperature that
 calibrates the probabilities.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text if nothing could be learned.
@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import record_batch, text_batches
+from driftline.llm.common import record_batch, small_batches, text_batches, tidy
+from driftline.llm.words import kept
 
 BITS = 16
 BLOCK = 1 << 20
@@ -81,6 +82,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     """How many training documents hold each hashed n-gram, over all of them: each task adds up its own table first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("language", object)  # what earlier steps remembered goes
         total, docs = np.zeros(1 << BITS, np.int64), 0
         for (bodies,) in text_batches(batches, "letters"):
             for t in bodies:
@@ -140,16 +142,23 @@ def calibrate(logits: list[np.ndarray], labels: list[int]) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def fit(train: DataFrame, rows_per_label: int = 1000, max_labels: int = 256) -> LanguageModel:
-    """Learn from ``train`` (columns text, lang). At most ``max_labels`` labels, the most frequent, can be learned: with
-    ``rows_per_label`` that bounds the one task that trains."""
+def fit(train: DataFrame, rows_per_label: int = 1000, max_labels: int = 256, sample_chars: int = 40_000_000) -> LanguageModel:
+    """Learn from ``train`` (columns text, lang). At most ``max_labels`` labels, the most frequent, can be learned.
+
+    Where labels are many or texts long, fewer rows of each label are taken, so that the sample has about
+    ``sample_chars`` characters: that bounds the one task that trains.
+    """
+    small_batches(train.sparkSession)
     train = train.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_labels).collect()}
+    found = (train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("text")).alias("chars"))
+             .orderBy(F.desc("n"), "lang").limit(max_labels).collect())
+    counts = {r.lang: r.n for r in found}
     labels = sorted(counts)
     if not labels:
         return LanguageModel([], np.zeros(1 << BITS), np.zeros((1 << BITS, 0)), 1.0)
     df, docs = document_frequencies(train.select(letters_only(F.col("text")).alias("letters")))
     idf = np.log((1.0 + docs) / (1.0 + df)) + 1.0
+    rows_per_label = max(10, min(rows_per_label, int(sample_chars / sum(r.chars for r in found))))
     # copies share a hash, so twice the share leaves enough distinct texts; the window then keeps the bound exactly
     share = F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(min(1.0, 2.0 * rows_per_label / counts[k])))])
     hashed = train.withColumn("h", F.xxhash64("text"))
@@ -172,6 +181,7 @@ def fit(train: DataFrame, rows_per_label: int = 1000, max_labels: int = 256) ->
         w = train_ftrl([r for i, r in enumerate(rows) if i % 5 != 4], len(labels))
         t = calibrate([rows[i][2] @ w[rows[i][1]] for i in held], [rows[i][0] for i in held])
         f, k = np.nonzero(w)
+        tidy()
         return pd.DataFrame({"f": np.append(f, -1), "k": np.append(k, 0), "w": np.append(w[f, k], t)})
 
     # one group on purpose: the sample is bounded by rows_per_label and max_labels, and FTRL takes its rows in turn
@@ -188,6 +198,7 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score"
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every document. One pass, no shuffle. Only the text decides."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     learned = bool(model.labels)
     text = F.col(text_col).cast("string")
@@ -204,11 +215,14 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
 def speaks(docs: DataFrame, model: LanguageModel, min_score: float, text_col: str = "text") -> DataFrame:
     """``docs`` whose text has a predicted language with at least ``min_score``; every column stays as it is."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = F.col(text_col).cast("string")
 
     @F.pandas_udf("double")
-    def score(letters):
+    def score(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        return letters.map(lambda t: m.predict(t)[1] if m.labels else 0.0, na_action="ignore")
+        for letters in columns:
+            yield letters.map(lambda t: m.predict(t)[1] if m.labels else 0.0, na_action="ignore")
+        tidy()
     return docs.where(F.coalesce(text.rlike(r"\p{L}"), F.lit(False))).where(score(letters_only(text)) >= min_score)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import record_batch, text_batches, texts
+from driftline.llm.common import record_batch, text_batches, texts, tidy
 from driftline.llm.words import WordEndBpe, WordTokens, kept
 from driftline.session import materialise
 
@@ -253,6 +253,7 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = 2048, shard: int =
             add(filled)
         if rows:
             yield flush()
+        tidy()
 
     return (placed.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).drop("place", "salt")
             .mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))

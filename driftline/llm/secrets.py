@@ -20,11 +20,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import record_batch, text_batches, texts
+from driftline.llm.common import record_batch, small_batches, text_batches, texts, tidy
+from driftline.llm.words import kept
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -112,6 +114,7 @@ def labelled_sample(docs: DataFrame, most_docs: int = 4000, most_strings: int =
     chosen = body.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("secrets", object)
         for (bodies,) in text_batches(batches, "text"):
             hard, plain = [], set()
             for t in bodies:
@@ -142,6 +145,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def secrets(docs: DataFrame, model: MarkovPair, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with counts and spans. One pass, no shuffle; the model is a matrix of fixed size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("secrets", object)  # what earlier steps remembered goes
         for ids, bodies in text_batches(batches, "doc_id", "text"):
             rows = []
             for doc_id, text in zip(ids, bodies):
@@ -170,7 +174,12 @@ def redact(text: str, model: MarkovPair, mark: str = "[SECRET]") -> str:
 
 def redacted(docs: DataFrame, model: MarkovPair, text_col: str = "text") -> DataFrame:
     """``docs`` with the secrets in ``text_col`` replaced; a null text stays null, every other column as it is."""
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
-    def clean(col):
-        return col.map(lambda t: redact(t, model), na_action="ignore")
+    def clean(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept("secrets", object)
+        for col in columns:
+            yield col.map(lambda t: redact(t, model), na_action="ignore")
+        tidy()
     return docs.withColumn(text_col, clean(F.col(text_col).cast("string")))

@@ -30,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.common import small_batches, tidy
 from driftline.session import materialise
 
 LENGTH, K = 100, 32
@@ -38,7 +39,7 @@ SHALLOW = 3  # words of eight bytes
 WORDS = -(-LENGTH // 8)
 BLOCK = 1 << 19
 CHUNK = 8 << 20
-BUCKET_BYTES = 40 << 20
+BUCKET_BYTES = 12 << 20
 LAST_ID = (1 << 63) - 1
 
 _TABLE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -181,6 +182,8 @@ def send_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                     chunk, size = {}, 0
         if chunk:
             yield _collect(list(chunk.values()), buckets)
+        chunk.clear()
+        tidy()
     return docs.mapInArrow(run, "bucket long, gram binary, context binary, doc binary, pos binary, before binary, after binary, ids binary, nodes binary")
 
 
@@ -303,6 +306,7 @@ def _sort_contexts(table):
         later = at[(i != i[head]) | (p != p[head])]
         c, x, y = _merge(context[later], place[later], place[later] + LENGTH)
         out.append(_found(ids[s][c], nodes[s][c], x, y))
+    tidy()
     return pa.concat_tables(out) if out else _found(*[np.zeros(0, np.int64)] * 4)
 
 
@@ -363,6 +367,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Named documents, their zipped texts, and spans (id, node, a, b) of the first copy of each text."""
+    small_batches(docs.sparkSession)
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = materialise(body.mapInArrow(_name, "doc_id long, id long, node long, n_bytes long, sha string"))
     total = named.agg(F.sum("n_bytes")).first()[0] or 0
@@ -371,7 +376,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = materialise(sent.groupBy("bucket", "part").applyInArrow(_settle, "id long, node long, a int, b int, pos int, gram long"))
     zipped = body.mapInArrow(_zip, "id long, node long, body binary")
     asked = found.where("gram IS NOT NULL")
-    parts = max(8, asked.count() // 100_000)
+    parts = max(8, asked.count() // 25_000)
     contexts = zipped.join(
         asked.groupBy("id", "node").agg(F.collect_list(F.struct("gram", "a", "b", "pos")).alias("asked")), ["id", "node"])
     edges = (contexts.mapInArrow(_contexts, "gram long, id long, node long, a int, b int, pos int, body binary")
@@ -384,7 +389,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds the bytes left (``kept``)."""
     named, zipped, spans = repeated_spans(docs)
-    firsts = named.groupBy("node").agg(F.min("id").alias("first"))
+    firsts = materialise(named.groupBy("node").agg(F.min("id").alias("first")))  # so that the join can split a text of many copies
     by_doc = spans.groupBy("id", "node").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     result = (zipped.join(by_doc, ["id", "node"]).mapInArrow(_cut, "id long, node long, n_removed long, n_spans long, kept string, left binary")
               .drop(*[] if with_text else ["left"]).dropDuplicates(["id", "node"]))

@@ -14,8 +14,10 @@ from itertools import islice
 
 import numpy as np
 
-WORD_LIMIT = 600_000
-KEEP = 250_000
+from driftline.llm.common import tidy
+
+WORD_LIMIT = 500_000
+KEEP = 200_000
 
 
 _KEPT: dict = {}
@@ -25,6 +27,7 @@ def kept(key, make):
     """One object per worker process, so that its tasks share what they learned; another key takes its place."""
     if key not in _KEPT:
         _KEPT.clear()
+        tidy()
         _KEPT[key] = make()
     return _KEPT[key]
 
