@@ -10,13 +10,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
 
 from driftline.llm.common import tidy
 
-WORD_LIMIT = 500_000
+WORD_LIMIT = 450_000
 KEEP = 200_000
 
 
@@ -117,12 +118,20 @@ class WordEndBpe:
     def __init__(self, json_text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task owns one core
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_str(json_text)
+        self.json_text = json_text
+        parts = json.loads(json_text)
+        vocabulary = parts["model"]["vocab"]
+        size = max([*vocabulary.values(), *(t["id"] for t in parts["added_tokens"])]) + 1
+        self.is_end = np.zeros(size, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         # plain pre-tokens, cut and lower-cased here, go to the same vocabulary and merges without the text front end
-        bare = json.loads(json_text) | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
-        self.merges = Tokenizer.from_str(json.dumps(bare))
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.is_end = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.merges = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+
+    @cached_property
+    def tokenizer(self):
+        """The whole tokenizer, made when a word is met that is not plain."""
+        from tokenizers import Tokenizer
+        return Tokenizer.from_str(self.json_text)
 
     def split(self, text: str | None) -> list[str]:
         low = (text or "").lower()
@@ -143,7 +152,8 @@ class WordEndBpe:
         ends = np.flatnonzero(self.is_end[joined]) + 1  # each pre-token closes with a word end
         assert len(ends) == len(together)
         lengths[plain] = np.diff(np.append(0, ends))
-        alone, apart = flattened([e.ids for e in self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False)])
+        others = [w for w, p in zip(words, plain) if not p]
+        alone, apart = flattened([e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)] if others else [])
         lengths[~plain] = apart
         flat = np.empty(int(lengths.sum()), np.uint32)
         is_plain = np.repeat(plain, lengths)
