@@ -39,7 +39,7 @@ SHALLOW = 3  # words of eight bytes
 WORDS = -(-LENGTH // 8)
 BLOCK = 1 << 19
 CHUNK = 8 << 20
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 12 << 20  # text whose anchors meet in one group; the contexts of 25,000 anchors are sorted in one
 LAST_ID = (1 << 63) - 1
 
 _TABLE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
