@@ -15,8 +15,10 @@ from driftline.llm import mixing as mixing_op
 from driftline.llm import neighbours as neighbours_op
 from driftline.llm import packing as packing_op
 from driftline.llm import secrets as secrets_op
+from driftline.llm import separators as separators_op
 from driftline.llm import suffixes as suffixes_op
 from driftline.plans.registry import Entry, Query, table
+from driftline.session import materialise
 
 LLM_QUERIES: dict[str, Entry] = {}
 
@@ -95,3 +97,13 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm_query()
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes_op.deduplicate(table(spark, sf_dir, "documents"))
+
+
+SEPARATOR = 49_408  # the first id the vocabulary leaves free, so no text can hold it
+
+
+@llm_query()
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as flat token streams, and every document's place and size found again by its separator."""
+    stream = materialise(separators_op.write_stream(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), SEPARATOR))
+    return separators_op.separator_scan(stream, SEPARATOR).select("doc_id", "n_tokens", "stream", "ordinal", "start")

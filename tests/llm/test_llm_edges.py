@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import base_quality, base_secrets, jaccard_components, removed_bytes
-from driftline.llm import fertility, jaccard, language, licenses, mixing, neighbours, packing, secrets, suffixes
+from driftline.llm import fertility, jaccard, language, licenses, mixing, neighbours, packing, secrets, separators, suffixes
 from driftline.llm.components import components
 from driftline.llm.queries import vocabulary
 from driftline.llm.words import WordEndBpe, WordTokens
@@ -310,3 +310,29 @@ def test_deep_shallow_classes():
     for s in start.tolist():
         want.setdefault(text[s:s + suffixes.LENGTH].tobytes(), set()).add(s)
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+@pytest.mark.parametrize("block,group", [(1, 2), (3, 2), (7, 3), (1000, 4096)])
+def test_separator_scan(spark, tmp_path, block, group):
+    rng = np.random.default_rng(block)
+    streams = [rng.integers(0, 6, int(n)).astype("<u2") for n in (0, 1, 5, 60, 97)] + [np.zeros(9, "<u2"), np.full(20, 4, "<u2"), np.append(np.ones(30, "<u2"), np.uint16(0)).astype("<u2")]
+    want = []
+    for i, x in enumerate(streams):
+        (tmp_path / f"s{i}.bin").write_bytes(x.tobytes())
+        start, k = 0, 0
+        for p in np.flatnonzero(x == 0):
+            want.append((i, k, start, int(p) - start, True))
+            start, k = int(p) + 1, k + 1
+        if start < len(x):
+            want.append((i, k, start, len(x) - start, False))
+    got = separators.separator_scan(separators.read_token_files(spark, str(tmp_path), block), 0, group=group).collect()
+    assert sorted((int(r.stream[-5]), r.ordinal, r.start, r.n_tokens, r.closed) for r in got) == sorted(want)
+
+
+def test_token_counts(spark, odd):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    docs = documents(spark, odd).coalesce(2)
+    got = separators.separator_scan(separators.write_stream(docs, vocabulary("word_bpe_49k.json"), 49408, block_ids=50), 49408).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted(((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in texts(odd)), key=str)
+    assert separators.separator_scan(separators.write_stream(documents(spark, []), vocabulary("word_bpe_49k.json"), 49408), 49408).count() == 0

@@ -24,7 +24,7 @@ def rows(spark, name):
 
 
 def test_ten_operators():
-    assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in LLM_QUERIES) == list(range(2, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in LLM_QUERIES) == list(range(1, 11))
 
 
 @pytest.mark.parametrize("name", sorted(n for n, e in LLM_QUERIES.items() if e.sql))
@@ -32,6 +32,13 @@ def test_matches_sql(spark, name):
     assert oracle.differences(spark, SF, LLM_QUERIES[name]) is None
 
 
+def test_token_counts(spark, docs):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    got = rows(spark, "op1_token_counts")
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in docs)
+
+
 def test_language(spark):
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = rows(spark, "op2_language_id")
