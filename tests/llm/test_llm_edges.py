@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brute import base_quality, base_secrets, jaccard_components, removed_bytes
+from brute import base_quality, base_secrets, jaccard_components, removed_bytes, shingles
 from driftline.llm import fertility, jaccard, language, licenses, mixing, neighbours, packing, secrets, separators, suffixes
 from driftline.llm.components import components
 from driftline.llm.queries import vocabulary
@@ -186,6 +186,25 @@ def test_jaccard_families(spark, seed):
     assert got == jaccard_components(rows)
 
 
+@pytest.mark.parametrize("seed, rows, tokens", [(1, 2048, 1_000_000), (2, 2048, 1_000_000), (3, 5, 1_000_000), (4, 2048, 40)])
+def test_jaccard_counts_every_link(spark, monkeypatch, seed, rows, tokens):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", tokens)
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(150)]
+    family = []
+    for i in range(40):  # round one original, from equal to too far; many reach each other
+        words = list(base)
+        for _ in range(int(rng.integers(0, 7))):
+            words[int(rng.integers(150))] = f"x{rng.integers(1000)}"
+        family.append((1000 + i, " ".join(words)))
+    docs = [*near_family(seed), *family, (2000, family[3][1]), (2001, family[3][1]), (2002, None)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_components(documents(spark, [(i, t, "en", "w") for i, t in docs])).collect()}
+    sets = {i: shingles(t) for i, t in docs}
+    links = {a: sum(a != b and bool(x & y) and 100 * len(x & y) >= 80 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+    assert got == {i: (*x, links[i]) for i, x in jaccard_components(docs).items()}
+
+
 def test_jaccard(spark, odd):
     docs = documents(spark, odd)
     got = jaccard.jaccard_components(docs).collect()
