@@ -355,3 +355,24 @@ def test_token_counts(spark, odd):
     got = separators.separator_scan(separators.write_stream(docs, vocabulary("word_bpe_49k.json"), 49408, block_ids=50), 49408).collect()
     assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == sorted(((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in texts(odd)), key=str)
     assert separators.separator_scan(separators.write_stream(documents(spark, []), vocabulary("word_bpe_49k.json"), 49408), 49408).count() == 0
+
+
+def test_secrets_beside_base64_text(spark):
+    import base64
+    import random
+    rng = random.Random(5)
+    blob = lambda n: base64.b64encode(rng.randbytes(n)).decode()
+    key = lambda: "".join(rng.choices(secrets.ALPHABET[:62], k=36)) + "7q"
+    planted = [key() for _ in range(60)]
+    part = lambda: rng.choice("bcdfghlmnprst") + rng.choice("aeiou")
+    vocab = ["".join(part() for _ in range(rng.randint(2, 4))) for _ in range(1500)]
+    rows = [(i, f"{' '.join(rng.choices(vocab, k=300))} {blob(3000)} behind {k} end", "en", "w") for i, k in enumerate(planted)]
+    hard, plain = secrets.labelled_sample(documents(spark, rows))
+    assert set(plain) <= {*vocab, "behind", "end"} and "behind" in plain  # no letters of the blobs; words far behind count too
+    found = lambda model: sum(any(t[a:b] == k for a, _, b in model.spans(t)) for k, (_, t, _, _) in zip(planted, rows))
+    model = secrets.fit(hard, plain)
+    assert found(model) >= 57
+    assert not model.spans(f"{vocab[0]}_{vocab[1]}_{vocab[2]}_17")
+    # letter runs of random strings among the words do not lift the threshold out of reach
+    runs = ["".join(rng.choices(secrets.ALPHABET[:52], k=24)) for _ in range(5)]
+    assert found(secrets.fit(hard, [*runs, *plain])) >= 54
