@@ -150,18 +150,19 @@ def fit(train: DataFrame, rows_per_label: int = 1000, max_labels: int = 256, sam
     """
     small_batches(train.sparkSession)
     train = train.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    found = (train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("text")).alias("chars"))
+    hashed = train.withColumn("h", F.xxhash64("text"))
+    found = (hashed.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("copies"), F.first(F.length("text")).alias("length"))
+             .groupBy("lang").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("texts"), F.avg("length").alias("chars"))
              .orderBy(F.desc("n"), "lang").limit(max_labels).collect())
-    counts = {r.lang: r.n for r in found}
+    counts = {r.lang: r.texts for r in found}
     labels = sorted(counts)
     if not labels:
         return LanguageModel([], np.zeros(1 << BITS), np.zeros((1 << BITS, 0)), 1.0)
     df, docs = document_frequencies(train.select(letters_only(F.col("text")).alias("letters")))
     idf = np.log((1.0 + docs) / (1.0 + df)) + 1.0
     rows_per_label = max(10, min(rows_per_label, int(sample_chars / sum(r.chars for r in found))))
-    # copies share a hash, so twice the share leaves enough distinct texts; the window then keeps the bound exactly
+    # shares are of distinct texts, as copies share a hash; twice the share leaves enough, and learn keeps the bound exactly
     share = F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(min(1.0, 2.0 * rows_per_label / counts[k])))])
-    hashed = train.withColumn("h", F.xxhash64("text"))
     picked = (hashed.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
               .dropDuplicates(["lang", "h"]).select("lang", "h", letters_only(F.col("text")).alias("letters")))
 

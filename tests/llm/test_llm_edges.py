@@ -376,3 +376,14 @@ def test_secrets_beside_base64_text(spark):
     # letter runs of random strings among the words do not lift the threshold out of reach
     runs = ["".join(rng.choices(secrets.ALPHABET[:52], k=24)) for _ in range(5)]
     assert found(secrets.fit(hard, [*runs, *plain])) >= 54
+
+
+def test_language_learns_beside_many_copies(spark):
+    rng = np.random.default_rng(4)
+    words = {"xx": [f"ka{c}o" for c in "bdfghklmnp"], "yy": [f"zi{c}e" for c in "bdfghklmnp"]}
+    few = [(i, " ".join(rng.choice(words[lang], 12)), lang, "w") for i, lang in enumerate(["xx", "yy"] * 60)]
+    copies = [(1000 + i, "one text that is repeated", "xx", "w") for i in range(40_000)]
+    docs = documents(spark, [*few, *copies])
+    got = language.predict(documents(spark, few), language.fit(docs, rows_per_label=30)).collect()
+    want = {i: lang for i, _, lang, _ in few}
+    assert np.mean([r.lang_pred == want[r.doc_id] for r in got]) > 0.95
