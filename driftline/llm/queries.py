@@ -7,6 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.llm import conversations as conversations_op
 from driftline.llm import fertility as fertility_op
 from driftline.llm import jaccard as jaccard_op
 from driftline.llm import language as language_op
@@ -17,6 +18,7 @@ from driftline.llm import packing as packing_op
 from driftline.llm import secrets as secrets_op
 from driftline.llm import separators as separators_op
 from driftline.llm import suffixes as suffixes_op
+from driftline.llm.conversations_sql import repair_sql
 from driftline.plans.registry import Entry, Query, table
 from driftline.session import materialise
 
@@ -107,3 +109,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus as flat token streams, and every document's place and size found again by its separator."""
     stream = materialise(separators_op.write_stream(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), SEPARATOR))
     return separators_op.separator_scan(stream, SEPARATOR).select("doc_id", "n_tokens", "stream", "ordinal", "start")
+
+
+@llm_query(repair_sql())
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations damaged, then repaired."""
+    rows = conversations_op.damaged(table(spark, sf_dir, "conversations"))
+    return conversations_op.audits(rows).drop("most_unresolved")

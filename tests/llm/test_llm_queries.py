@@ -23,8 +23,8 @@ def rows(spark, name):
     return LLM_QUERIES[name].run(spark, SF).collect()
 
 
-def test_ten_operators():
-    assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in LLM_QUERIES) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in LLM_QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(n for n, e in LLM_QUERIES.items() if e.sql))
