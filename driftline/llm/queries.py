@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm import conversations as conversations_op
 from driftline.llm import fertility as fertility_op
+from driftline.llm import hard_negatives as hard_negatives_op
 from driftline.llm import jaccard as jaccard_op
 from driftline.llm import language as language_op
 from driftline.llm import licenses as licenses_op
@@ -116,3 +117,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations damaged, then repaired."""
     rows = conversations_op.damaged(table(spark, sf_dir, "conversations"))
     return conversations_op.audits(rows).drop("most_unresolved")
+
+
+@llm_query(hard_negatives_op.mine_sql())
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some labels are moved first, so that classes overlap; anchors are the rows whose id is divisible by 50."""
+    vec_id, label = F.col("vec_id"), F.col("label")
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives_op.mine(vectors, vec_id % 50 == 0)
