@@ -16,6 +16,7 @@ from driftline.llm import licenses as licenses_op
 from driftline.llm import mixing as mixing_op
 from driftline.llm import neighbours as neighbours_op
 from driftline.llm import packing as packing_op
+from driftline.llm import personal as personal_op
 from driftline.llm import secrets as secrets_op
 from driftline.llm import separators as separators_op
 from driftline.llm import suffixes as suffixes_op
@@ -125,3 +126,10 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id, label = F.col("vec_id"), F.col("label")
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
     return hard_negatives_op.mine(vectors, vec_id % 50 == 0)
+
+
+@llm_query()
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns and the field, fitted to a bounded sample of the same documents."""
+    docs = table(spark, sf_dir, "documents")
+    return personal_op.digests(personal_op.personal_spans(docs, personal_op.fit(docs)))
