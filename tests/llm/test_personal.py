@@ -145,6 +145,6 @@ def test_defined_cases(spark, field):
     nothing = hashlib.sha256(b"").hexdigest()
     assert all((at[i].spans, at[i].base_sha256, at[i].n_added) == ("", nothing, 0) for i in (1, 2, 3))
     assert at[4].spans == "crf-email:5:31,email:36:51" and at[None].spans == "phone:0:15"
-    assert at[5].spans == f"crf-phone:{len(long) - 18}:{len(long) - 4}" and at[6].spans == "crf-ip:2:23"
+    assert at[5].spans == f"crf-phone:{len(long) - 18}:{len(long) - 4}" and at[6].spans == "crf-ip:2:21"
     empty = df.limit(0)
     assert P.digests(P.personal_spans(empty, P.fit(empty))).count() == 0
