@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import gzip
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from driftline import schemas
 from driftline.operators import checks, exemplars, profile, windows
 from driftline.operators.coding import Coder
 from driftline.operators.scaling import Scaler
 from driftline.plans.feature_queries import STATS_SQL, noisy, vectors
-from driftline.plans.io_queries import SNAPSHOT_SHOWN, SNAPSHOT_SQL, snapshot_documents, trace_documents
+from driftline.plans.io_queries import SNAPSHOT_SQL, snapshot_documents, snapshot_shown
 from driftline.plans.registry import query, table
 from driftline.plans.trace_queries import N, WINDOWS_SQL, as_text, event_windows, text_sql
 from driftline.session import scratch_path
-from driftline.sources import reports
+from driftline.sources import archive, reports
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_id % 7 = 0 OR value < 5")
@@ -115,48 +115,17 @@ def gathered_features(spark, sf_dir):
     return back.select("key.user_id", "key.start_us", as_text("ground_speeds", 2), as_text("headings", 1))
 
 
-@query(SNAPSHOT_SQL + """SELECT snapshot_timestamp, hex, actual_timestamp, snapshot_messages, flight, alt_baro FROM s
+@query(SNAPSHOT_SQL + f"""SELECT {', '.join(schemas.SNAPSHOT_POINTS)} FROM s
 WHERE snapshot_timestamp % 86400 BETWEEN 6 * 3600 AND 18 * 3600
   AND snapshot_timestamp // 86400 = (SELECT min(snapshot_timestamp) // 86400 + 1 FROM s)""")
 def snapshot_files_by_time(spark, sf_dir):
-    """Snapshot files in day folders, named by their second; those of one day between 6 and 18 o'clock are read."""
+    """All snapshots as files in day folders, named by their second, packed; those of one day between 6 and 18
+    o'clock are read."""
     path = scratch_path(spark, "snapshot-files")
     docs = snapshot_documents(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.get_json_object("value", "$.now").cast("double").cast("long")))
+    name = F.date_format("at", "yyyy/MM/dd/HHmmss'Z.json.gz'")
+    archive.write_files(docs.select(name.alias("name"), F.col("value").alias("text"), F.lit(True).alias("packed")), path).agg(F.sum("bytes")).collect()
     first = docs.agg(F.min("at")).first()[0]
-    day = datetime(first.year, first.month, first.day)
-    day += timedelta(days=1)
-    part = docs.where(F.to_date("at").between(F.lit(day.date()), F.lit((day + timedelta(days=1)).date())))
-    named = part.select("value", F.date_format("at", "yyyy/MM/dd/HHmmss'Z.json.gz'").alias("name"))
-    _write_files(spark, named, path)
+    day = datetime(first.year, first.month, first.day) + timedelta(days=1)
     rows = reports.read_snapshots(spark, path, day.replace(hour=6), day.replace(hour=18))
-    return reports.snapshot_points(rows).select(*SNAPSHOT_SHOWN)
-
-
-@query("""
-WITH e AS (SELECT *, printf('%x', user_id) AS icao, epoch_us(ts) // 3600000000 * 3600 AS base FROM events WHERE event_id % 10 <> 0)
-SELECT icao, epoch_us(ts) AS us, base AS base_timestamp, CASE WHEN event_type = 'error' THEN 0 ELSE event_id::INTEGER END AS altitude_baro,
-  CASE WHEN event_id % 10 > 2 THEN 250 ELSE 0 END AS indicated_airspeed FROM e
-WHERE base // 86400 = (SELECT min(epoch_us(ts)) // 86400000000 + 1 FROM events) AND right(icao, 1) IN ('1', '5', 'a')""")
-def trace_files(spark, sf_dir):
-    """Trace files packed under a plain name, one broken, in day and prefix folders; one day and three prefixes are read."""
-    path = scratch_path(spark, "trace-files")
-    docs = trace_documents(spark, sf_dir).withColumn("base", F.split("path", "/")[1].cast("long")).withColumn("icao", F.split("path", "/")[0])
-    day = datetime.fromtimestamp(docs.agg(F.min("base")).first()[0] // 86400 * 86400 + 86400, timezone.utc).replace(tzinfo=None)
-    at = F.timestamp_seconds("base")
-    part = docs.where(F.to_date(at).between(F.lit(day.date()), F.lit((day + timedelta(days=1)).date())))
-    name = F.concat(F.date_format(at, "yyyy/MM/dd/"), F.right("icao", F.lit(1)), F.lit("/trace_full_"), "icao", F.lit("_"), "base", F.lit(".json"))
-    _write_files(spark, part.select(F.col("text").alias("value"), name.alias("name")), path)
-    _write_files(spark, part.limit(1).select(F.lit("{\"icao\": ").alias("value"), F.lit(f"{day:%Y/%m/%d}/5/broken.json").alias("name")), path)
-    pts = reports.read_traces(spark, path, day, day, ["1", "5", "a"])
-    return pts.select("icao", F.unix_micros("actual_timestamp").alias("us"), "base_timestamp", "altitude_baro", F.coalesce("indicated_airspeed", F.lit(0)).alias("indicated_airspeed"))
-
-
-def _write_files(spark, named, path: str) -> None:
-    """One packed file per row, through Hadoop's file system, whatever store the folder lies in."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    base = jvm.org.apache.hadoop.fs.Path(path)
-    fs = base.getFileSystem(conf)
-    for r in named.toLocalIterator():  # writes a fixture for the reader, two days of one document a minute at most
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/{r['name']}"))
-        out.write(bytearray(gzip.compress(r["value"].encode())))
-        out.close()
+    return snapshot_shown(reports.snapshot_points(rows))

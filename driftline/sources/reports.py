@@ -94,6 +94,9 @@ def read_trace_files(spark: SparkSession, path: str, begin: datetime | None = No
     return files.mapInPandas(_plain_text, "path string, text string")
 
 
+UNREADABLE, INCOMPLETE = "file cannot be read", "point lacks a value"
+
+
 def _trace_elements(files: DataFrame) -> DataFrame:
     doc = F.from_json("text", schemas.TRACE_JSON)
     docs = files.select("path", doc.alias("d"))
@@ -106,9 +109,8 @@ def _usable():
             & F.get("p", F.lit(0)).try_cast("double").isNotNull())
 
 
-def explode_trace_points(files: DataFrame) -> DataFrame:
-    """One row per trace point from (path, text). Unreadable files and incomplete points yield nothing."""
-    el = _trace_elements(files).filter(F.coalesce(_usable(), F.lit(False)))
+def _point_columns(el: DataFrame, *also: str) -> DataFrame:
+    """The columns of a trace point from (path, icao, base, p) rows."""
     at = {name: F.get("p", F.lit(i)) for i, (name, _) in enumerate(schemas.TRACE_POINT)}
     meta = F.from_json(at["metadata"], schemas.ddl(schemas.METADATA))
     number = lambda c, t: c.try_cast("double").try_cast(t) if t == "int" else c.try_cast(t)
@@ -116,12 +118,23 @@ def explode_trace_points(files: DataFrame) -> DataFrame:
     values["altitude_baro"] = S.altitude_or_ground(at["altitude_baro"])
     values |= {
         "icao": F.col("icao"),
-        "actual_timestamp": S.point_time(F.col("base"), at["seconds_offset"].cast("double")),
+        "actual_timestamp": S.point_time(F.col("base"), at["seconds_offset"].try_cast("double")),
         "base_timestamp": F.col("base").cast("bigint"),
         "source_file_path": F.col("path"),
     }
     el = el.withColumn("m", meta)
-    return el.select(*[(values[c] if c in values else F.col(f"m.{c}")).alias(c) for c in schemas.TRACE_POINTS])
+    return el.select(*[(values[c] if c in values else F.col(f"m.{c}")).alias(c) for c in schemas.TRACE_POINTS], *also)
+
+
+def explode_trace_points(files: DataFrame) -> DataFrame:
+    """One row per trace point from (path, text). Unreadable files and incomplete points yield nothing."""
+    return _point_columns(_trace_elements(files).filter(F.coalesce(_usable(), F.lit(False))))
+
+
+def trace_rows(el: DataFrame) -> DataFrame:
+    """Usable points and rejects together, from (path, icao, base, p, fault): the point's columns, and ``fault``."""
+    why = F.coalesce("fault", F.when(~F.coalesce(_usable(), F.lit(False)), F.lit(INCOMPLETE)))
+    return _point_columns(el.withColumn("fault", why), "fault")
 
 
 def read_traces(spark: SparkSession, path: str, begin: datetime | None = None, end: datetime | None = None,
