@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import plain
+from driftline.operators import traces as T
 from driftline.operators import windows as W
 from driftline.operators.summaries import trace_summary
 from driftline.operators.traces import GapRule, gap_flags, trace_arrays, traces
@@ -29,9 +30,11 @@ def test_gap_is_strict_and_duration_inclusive(spark):
     assert [r.id for r in traces(df, rule(), 900 * S).collect()] == ["b"]
 
 
+@pytest.mark.parametrize("link_tiles", [4096, 3])
 @pytest.mark.parametrize("kw", [{}, {"tile_us": 900 * S}, {"tile_rows": 3}, {"tile_us": 37 * S, "tile_rows": 2}])
-def test_cells_do_not_change_traces(spark, kw):
-    """One entity holds most rows; small cells and split cells give the same traces and positions."""
+def test_cells_do_not_change_traces(spark, monkeypatch, kw, link_tiles):
+    """One entity holds most rows; small cells, split cells and small blocks of tiles give the same traces and positions."""
+    monkeypatch.setattr(T, "LINK_TILES", link_tiles)
     rnd = random.Random(4)
     rows, want = [], {}
     for e, n in (("hot", 300), ("b", 40), ("c", 1)):
@@ -47,6 +50,42 @@ def test_cells_do_not_change_traces(spark, kw):
     assert got == want
 
 
+def burst(spark, n):
+    """Half of the points of one entity lie at one instant, the others a second apart around it."""
+    at_once = spark.range(n).select(F.lit("a").alias("id"), F.lit(500 * S).alias("us"), F.col("id").alias("v"))
+    return at_once.unionByName(spark.range(n // 10).select(F.lit("a").alias("id"), (F.col("id") * S).alias("us"), F.col("id").alias("v")))
+
+
+def test_one_instant_does_not_make_one_cell(spark):
+    df, r = burst(spark, 20_000), rule(tile_rows=1000)
+    sizes = [c["count"] for c in T._cells(df, r).groupBy("id", "_tile", "_sub").count().collect()]
+    assert sum(sizes) == 22_000 and max(sizes) < 1000
+    got = T.locate(df, r).agg(F.count(F.lit(1)), F.count_distinct("pos"), F.min("pos"), F.max("pos"), F.max("trace_no"), F.min("point_count")).first()
+    assert tuple(got) == (22_000, 22_000, 0, 21_999, 0, 22_000)
+    order = T.locate(df, r).withColumn("late", F.col("us") > 500 * S).groupBy("late", F.col("us") == 500 * S).agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    assert sorted((o.low, o.high) for o in order.collect()) == [(0, 499), (500, 20_500), (20_501, 21_999)]
+    tied = [r.v for r in T.locate(df, rule(tile_rows=1000, tiebreak=("v",))).where(F.col("us") == 500 * S).orderBy("pos").collect()]
+    assert len(tied) == 20_001 and tied == sorted(tied)
+
+
+def test_bursts_of_equal_points_and_null_times(spark):
+    df = points(spark, [("a", 5, 1)] * 50 + [("a", None, 2), (None, 5, 2), ("b", 5, 1)])
+    got = gap_flags(df, rule(tile_rows=10))
+    assert got.count() == 51 and got.where("id = 'a'").agg(F.count_distinct("pos")).first()[0] == 50
+
+
+def test_one_lazy_plan_one_shuffle_of_points(spark, tmp_path):
+    """Nothing runs while the plan is made; points and summaries read the same shuffle, the input once."""
+    burst(spark, 3000).write.parquet(f"{tmp_path}/points")
+    df = spark.read.parquet(f"{tmp_path}/points")
+    spark.sparkContext.setJobGroup("planning", "")
+    got = T.locate(df, rule(), min_points=2)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == 0
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 2
+
+
 def test_chunks_cut_at_clock_times(spark):
     df = points(spark, [("a", t * S, 1) for t in (0, 3599, 3600, 3700)])
     got = traces(df, rule(chunk_us=3600 * S)).orderBy("start_us").collect()
