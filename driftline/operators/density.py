@@ -11,6 +11,8 @@ size in order of weight, carrying a small state per component from band to band.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -328,10 +330,19 @@ def _select(ended: DataFrame, epsilon: float) -> DataFrame:
     return tops.filter(F.col("top").isNotNull()).select("cluster", F.col("top").alias("final"))
 
 
-def hdbscan(df: DataFrame, id_col: str, vec_col: str, min_cluster_size: int = 35, min_samples: int = 4,
-            epsilon: float = 0.25, neighbours: int = 12, block_rows: int = 2048,
-            band_edges: int = 1_000_000) -> DataFrame:
-    """(id, cluster): clusters numbered by their lowest member, noise -1. Euclidean distance, excess of mass."""
+@dataclass
+class Clusters:
+    """What density clustering finds: ``vertices`` (n, v, m, first, core, node, cluster), one a distinct vector, where ``node``
+    is the lowest node of the condensed tree that it belongs to and ``cluster`` its label; ``tree`` (node, parent, birth,
+    cluster), where ``birth`` is the distance at which a node splits off and ``cluster`` the label that it lies in."""
+
+    vertices: DataFrame
+    tree: DataFrame
+    count: int
+
+
+def find_clusters(df: DataFrame, id_col: str, vec_col: str, min_cluster_size: int = 35, min_samples: int = 4, epsilon: float = 0.25,
+                  neighbours: int = 12, block_rows: int = 2048, band_edges: int = 1_000_000) -> Clusters:
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     distinct = rows.groupBy("v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m"))
     verts = materialise(dense_index(distinct, ["first"], "n"))
@@ -340,11 +351,20 @@ def hdbscan(df: DataFrame, id_col: str, vec_col: str, min_cluster_size: int = 35
     tree, facts = spanning_tree(index, count, min_samples, neighbours)
     where, ended = _condense(tree, facts, count, min_cluster_size, band_edges)
     final = _select(ended, epsilon)
-    labelled = materialise(where.join(final, "cluster", "left").select("n", "final"))
-    names = dense_index(labelled.filter(F.col("final").isNotNull()).groupBy("final").agg(F.min("n").alias("n")),
-                        ["n"], "label").select("final", F.col("label").cast("int").alias("label"))
-    label = labelled.join(names, "final", "left").select("n", F.coalesce("label", F.lit(-1)).alias("cluster"))
-    keyed = materialise(verts.join(label, "n").select("v", "m", "first", "cluster"))
+    labelled = materialise(where.join(final, "cluster", "left").select("n", F.col("cluster").alias("node"), "final"))
+    names = materialise(dense_index(labelled.filter(F.col("final").isNotNull()).groupBy("final").agg(F.min("n").alias("n")),
+                                    ["n"], "label").select("final", F.col("label").cast("int").alias("label")))
+    label = labelled.join(names, "final", "left").select("n", "node", F.coalesce("label", F.lit(-1)).alias("cluster"))
+    vertices = materialise(verts.join(facts.select("n", "core"), "n").join(label, "n").select("n", "v", "m", "first", "core", "node", "cluster"))
+    nodes = ended.join(final, "cluster", "left").join(names, "final", "left").select(
+        F.col("cluster").alias("node"), "parent", "birth", F.coalesce("label", F.lit(-1)).alias("cluster"))
+    return Clusters(vertices, nodes, count)
+
+
+def labels_of(df: DataFrame, id_col: str, vec_col: str, found: Clusters) -> DataFrame:
+    """(id, cluster) of the rows that the clusters were found in."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    keyed = found.vertices
     lone = keyed.filter("m = 1").select(F.col("first").alias("id"), "cluster")
     heavy = keyed.filter(F.col("m") > HEAVY_COPIES).select("v", "cluster")
     shared = keyed.filter((F.col("m") > 1) & (F.col("m") <= HEAVY_COPIES)).select("v", "cluster")
@@ -353,6 +373,13 @@ def hdbscan(df: DataFrame, id_col: str, vec_col: str, min_cluster_size: int = 35
         out = out.unionByName(rows.join(shared, "v").select("id", "cluster"))
         n_heavy = heavy.count()
         if n_heavy:
-            dim = verts.select(F.size("v")).first()[0]
+            dim = keyed.select(F.size("v")).first()[0]
             out = out.unionByName(rows.join(broadcast_if_small(heavy, n_heavy, 8 * dim + 16), "v").select("id", "cluster"))
     return out.select(F.col("id").alias(id_col), "cluster")
+
+
+def hdbscan(df: DataFrame, id_col: str, vec_col: str, min_cluster_size: int = 35, min_samples: int = 4,
+            epsilon: float = 0.25, neighbours: int = 12, block_rows: int = 2048,
+            band_edges: int = 1_000_000) -> DataFrame:
+    """(id, cluster): clusters numbered by their lowest member, noise -1. Euclidean distance, excess of mass."""
+    return labels_of(df, id_col, vec_col, find_clusters(df, id_col, vec_col, min_cluster_size, min_samples, epsilon, neighbours, block_rows, band_edges))

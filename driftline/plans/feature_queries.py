@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators import density, exemplars, summaries, windows
+from driftline.operators.clusterer import Clusterer
 from driftline.operators.coding import Coder
 from driftline.operators.scaling import Scaler
 from driftline.plans.registry import query, table
-from driftline.session import materialise
+from driftline.session import materialise, scratch_path
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +151,17 @@ def hdbscan_labels(spark, sf_dir):
     return density.hdbscan(vectors(spark, sf_dir), "vec_id", "embedding")
 
 
+@query("SELECT vec_id, true AS own_label FROM embeddings")
+def saved_clusterer(spark, sf_dir):
+    """A clusterer written to storage and read again gives every training vector its own label."""
+    e = vectors(spark, sf_dir)
+    path = scratch_path(spark, "clusterer")
+    made = Clusterer.fit(e, "vec_id", "embedding", min_cluster_size=10)
+    made.save(path)
+    given = Clusterer.load(spark, path).assign(e, "vec_id", "embedding").withColumnRenamed("cluster", "given")
+    return made.labels(e, "vec_id", "embedding").join(given, "vec_id").select("vec_id", (F.col("cluster") == F.col("given")).alias("own_label"))
+
+
 @query()
 def window_clusters(spark, sf_dir):
     """Event windows to features, codes, clusters and exemplars."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import plain
 from driftline.operators import checks, correlate, density, exemplars, paths, profile
+from driftline.operators.clusterer import Clusterer
 from driftline.operators.coding import Coder
 from driftline.operators.neighbours import BlockIndex, nearest_neighbours
 from driftline.operators.ordering import dense_index
@@ -34,6 +35,49 @@ def test_density_clusters(spark, epsilon, neighbours, block, band, copies):
     assert plain.same_partition(plain.hdbscan(x, 15, 4, epsilon), [r.cluster for r in got])
 
 
+def entered(model, x, k):
+    """(cluster, strength) of a new vector by looking at every training vector and climbing node by node."""
+    vertices, tree = model
+    d = [(np.sqrt(((x - np.array(p.v)) ** 2).sum()), p) for p in vertices]
+    same = [p for e, p in d if e == 0]
+    if same:
+        best, reach = same[0], same[0].core
+    else:
+        core = sorted(e for e, p in d for _ in range(p.m))[k - 1]
+        g, _, best = min((max(e, p.core), p.n, p) for e, p in d)
+        reach = max(core, g)
+    node = best.node
+    while node in tree and reach > tree[node].birth:
+        node = tree[node].parent
+    cluster = tree[node].cluster if node in tree else -1
+    least = min((p.core for p in vertices if p.cluster == cluster), default=0)
+    return cluster, 0.0 if cluster < 0 else max(least, 1e-12) / max(reach, least, 1e-12)
+
+
+@pytest.mark.parametrize("epsilon,block", [(0.0, 30), (0.5, 2048)])
+def test_saved_clusterer(spark, tmp_path, epsilon, block):
+    rng = np.random.default_rng(1)
+    x = blobs(rng)
+    x = np.concatenate([x, np.repeat(x[:1], 20, 0)])
+    df = frame(spark, x)
+    made = Clusterer.fit(df, "id", "v", 15, 4, epsilon, block_rows=block)
+    made.save(f"{tmp_path}/model")
+    model = Clusterer.load(spark, f"{tmp_path}/model")
+    own = {r.id: r.cluster for r in model.labels(df, "id", "v").collect()}
+    assert plain.same_partition(plain.hdbscan(x, 15, 4, epsilon), [own[i] for i in range(len(x))])
+    back = {r.id: r.cluster for r in model.assign(df, "id", "v", block).collect()}
+    assert back == own  # training vectors get their own labels
+    new = np.concatenate([x[:60] + rng.normal(0, 0.05, (60, 3)), rng.uniform(-4, 9, (60, 3)), [[100, 100, 100]], x[7:9]])
+    asked = frame(spark, new).unionByName(spark.createDataFrame([(900, None)], "id long, v array<double>"))
+    got = {r.id: (r.cluster, r.strength) for r in model.assign(asked, "id", "v", block).collect()}
+    tables = model.vertices.collect(), {r.node: r for r in model.tree.collect()}
+    for i, v in enumerate(new):
+        cluster, strength = entered(tables, v, 4)
+        assert got[i][0] == cluster and got[i][1] == pytest.approx(strength), i
+    assert got[900] == (-1, 0.0) and len({c for c, _ in got.values()}) > 2
+    assert model.assign(df.limit(0), "id", "v").count() == 0
+
+
 def test_merging_by_pointer_jumps_gives_the_same_components(spark):
     rng = np.random.default_rng(5)
     pos = np.sort(rng.uniform(0, 1, 200))
