@@ -214,7 +214,12 @@ def trace_arrays(df: DataFrame, rule: GapRule, arrays: list[str], scalars: list[
     A trace longer than ``part_points`` continues in further rows (``part`` 1, 2, ..), so no row or task ever holds
     an unbounded history and no point is lost. Ordinary traces have the single row ``part`` 0.
     """
-    pts = locate(df, rule, min_duration_us).withColumn("part", F.floor(F.col("pos") / part_points).cast("long"))
+    return pack_arrays(locate(df, rule, min_duration_us), rule, arrays, scalars, part_points)
+
+
+def pack_arrays(located: DataFrame, rule: GapRule, arrays: list[str], scalars: list[str] = (), part_points: int = 200_000) -> DataFrame:
+    """The array rows of ``trace_arrays`` from points that ``locate`` has placed."""
+    pts = located.withColumn("part", F.floor(F.col("pos") / part_points).cast("long"))
     packed = pts.groupBy(rule.entity, "trace_no", "part").agg(
         F.first("start_us").alias("start_us"), F.first("end_us").alias("end_us"),
         F.first("point_count").alias("point_count"),

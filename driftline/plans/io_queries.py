@@ -14,7 +14,7 @@ from driftline.operators.traces import GapRule, traces
 from driftline.plans.profile_queries import hex_ids
 from driftline.plans.registry import query, table
 from driftline.session import scratch_path
-from driftline.sources import reports, tables
+from driftline.sources import reports, tables, versions
 from driftline.streaming import flows
 
 MINUTE = 60_000_000
@@ -178,6 +178,32 @@ def partition_upsert(spark, sf_dir):
             .select("c_custkey", "state", "note", "balance"))
 
 
+VERSIONS_SQL = """
+WITH c AS (SELECT c_custkey, c_name, c_acctbal, substr(md5(c_custkey::VARCHAR), 1, 2) AS hex_prefix FROM customer),
+v0 AS (SELECT c_custkey, 'old' AS state, c_acctbal, hex_prefix FROM c WHERE c_custkey % 5 <> 0),
+v1 AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE 'old' END AS state, CASE WHEN c_custkey % 4 = 0 THEN -c_acctbal ELSE c_acctbal END AS c_acctbal, hex_prefix
+  FROM c WHERE c_custkey % 5 <> 0 OR c_custkey % 4 = 0)"""
+
+
+@query(VERSIONS_SQL + """
+SELECT 'killed' AS at, * FROM v0 UNION ALL SELECT 'first', * FROM v0 UNION ALL SELECT 'second', * FROM v1
+UNION ALL SELECT 'third', * FROM v1 UNION ALL SELECT 'third', c_custkey, 'extra', c_acctbal, hex_prefix FROM c WHERE c_custkey % 5 = 0 AND c_custkey % 4 <> 0""")
+def versioned_table(spark, sf_dir):
+    """An upsert that dies between write and swap leaves the old version whole; one that ends makes a new version beside it;
+    an insert that meets stored keys adds the new ones only."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 2).alias("hex_prefix"))
+    stored = versions.VersionedTable(spark, scratch_path(spark, "versions"))
+    key = ["c_custkey"]
+    stored.create(c.where("c_custkey % 5 <> 0").withColumn("state", F.lit("old")), key)
+    new = c.where("c_custkey % 4 = 0").select("c_custkey", (-F.col("c_acctbal")).alias("c_acctbal"), "hex_prefix", F.lit("new").alias("state"))
+    stored.upsert(new, key, ["state"], swap=False)
+    killed = stored.read()
+    stored.upsert(new, key, ["state"])
+    stored.insert(c.withColumn("state", F.lit("extra")), key, ["state"])
+    at = lambda name, df: df.select(F.lit(name).alias("at"), "c_custkey", "state", "c_acctbal", "hex_prefix")
+    return at("killed", killed).unionByName(at("first", stored.read(0))).unionByName(at("second", stored.read(1))).unionByName(at("third", stored.read()))
+
+
 @query("SELECT 'l_returnflag' AS column_name, count(DISTINCT l_returnflag) AS distinct_count FROM lineitem "
        "UNION ALL SELECT 'l_linestatus', count(DISTINCT l_linestatus) FROM lineitem")
 def report_file(spark, sf_dir):
@@ -211,17 +237,57 @@ def stream_sessions(spark, sf_dir):
 
 @query("SELECT event_id, user_id, value FROM events")
 def stream_dedupe(spark, sf_dir):
-    """Events arrive twice, in files out of time order, one or two a batch; repeats are left out and no row is lost."""
+    """Events arrive twice, in files out of time order, one or two a batch; repeats are left out and no row is lost. A batch
+    reads the stored keys of the days that it touches."""
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "ts")
     files = scratch_path(spark, "arrivals")
+    day = F.floor(S.as_micros(ev, "ts") / (24 * 60 * MINUTE))
     mixed = F.pmod(F.xxhash64("event_id"), F.lit(1000))
-    ev.unionByName(ev).repartitionByRange(6, mixed).write.parquet(files)
+    ev.unionByName(ev).repartitionByRange(6, F.pmod(day * 11, F.lit(31)), mixed).write.parquet(files)
     arriving = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(files)
     path = scratch_path(spark, "dedupe")
-    flows.merge_available(arriving, path, scratch_path(spark, "dedupe-state"), ["event_id"], ["ts"])
+    flows.merge_available(arriving, path, scratch_path(spark, "dedupe-state"), ["event_id"], ["ts"], day)
     return spark.read.parquet(path).select("event_id", "user_id", "value")
 
 
+ARRIVAL = (2, 0, 1, 4, 3)  # fifths of the time, in the order in which their files come
+LIVE_DELAY = 8 * 24 * 60 * MINUTE
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, value, epoch_us(ts) AS us, epoch_us(ts) // 86400000000 AS day_no FROM events),
+a AS (SELECT e.*, list_position({list(ARRIVAL)}, least(4, (day_no - (SELECT min(day_no) FROM e)) // 6)::INTEGER) AS arrival FROM e),
+w AS (SELECT a.*, (SELECT max(us) FROM a b WHERE b.arrival < c.arrival) - {LIVE_DELAY} AS horizon FROM a JOIN (SELECT DISTINCT arrival FROM a) c USING (arrival)),
+g AS (SELECT *, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS d FROM w WHERE horizon IS NULL OR us >= horizon),
+k AS (SELECT *, CASE WHEN d > 86400000000 OR us // 604800000000 <> lag(us) OVER (PARTITION BY user_id ORDER BY us) // 604800000000 THEN 1 ELSE 0 END AS cut FROM g),
+t AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS no FROM k),
+s AS (SELECT *, min(us) OVER (PARTITION BY user_id, no) AS start_us FROM t)
+SELECT 'trace' AS kind, user_id, start_us, max(us) AS end_us, count(*) AS point_count, min_by(event_id, us) AS event_id,
+  string_agg((us - start_us)::VARCHAR, ',' ORDER BY us) AS time_offsets, string_agg(printf('%.2f', value), ',' ORDER BY us) AS value
+FROM s GROUP BY user_id, no, start_us
+UNION ALL SELECT 'late', user_id, us, us, 1, event_id, '0', printf('%.2f', value) FROM w WHERE us < horizon""")
+def stream_traces(spark, sf_dir):
+    """Traces from five files out of time order, cut at gaps and at weeks: closed ones, those still open at the end, and the
+    rows that came later than the delay allows."""
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "value", "ts")
+    day = F.floor(S.as_micros(ev, "ts") / (24 * 60 * MINUTE)).cast("long")
+    first = ev.agg(F.min(day)).first()[0] or 0
+    files = scratch_path(spark, "arrivals")
+    for fifth in ARRIVAL:  # one after the other, so that they come in this order
+        ev.where(F.least(F.lit(4), F.floor((day - first) / 6)) == fifth).coalesce(1).write.mode("append").parquet(files)
+    rule = GapRule("user_id", "ts", 24 * 60 * MINUTE, chunk_us=7 * 24 * 60 * MINUTE)
+    live = flows.LiveTraces(rule, ("value",), ("event_id",), LIVE_DELAY, scratch_path(spark, "live"))
+    live.run_available(spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(files), scratch_path(spark, "live-state"))
+    as_text = lambda c, e: F.array_join(F.transform(c, e), ",").alias(c)
+    found = live.closed(spark).unionByName(live.open(spark)).select(
+        F.lit("trace").alias("kind"), "user_id", "start_us", "end_us", "point_count", "event_id", as_text("time_offsets", lambda x: x.cast("string")),
+        as_text("value", lambda x: F.format_string("%.2f", x)))
+    us = S.as_micros(live.late(spark), "ts")
+    late = live.late(spark).select(F.lit("late").alias("kind"), "user_id", us.alias("start_us"), us.alias("end_us"), F.lit(1).cast("long").alias("point_count"),
+                                   "event_id", F.lit("0").alias("time_offsets"), F.format_string("%.2f", "value").alias("value"))
+    return found.unionByName(late)
+
+
 @query("""
 WITH e AS (SELECT DISTINCT epoch_us(ts) // 60000000 * 60 - CASE WHEN event_type <> 'view' THEN 3 ELSE 0 END AS sec,
   epoch_us(ts) // 60000000 * 60 AS snap, printf('%x', user_id) AS hex FROM events),

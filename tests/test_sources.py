@@ -11,7 +11,8 @@ from driftline.functions import scalars as S
 from driftline.operators import clean
 from driftline.plans import chain
 from driftline.session import broadcast_if_small
-from driftline.sources import reports, tables
+from driftline.sources import reports, tables, versions
+from driftline.operators.traces import GapRule
 from driftline.streaming import flows
 
 
@@ -228,6 +229,57 @@ def test_streams_lose_no_row_silently(spark, tmp_path):
         flows.run_available(flows.without_repeats(read(), "t", ["id"]), f"{tmp_path}/cut", f"{tmp_path}/c2")
 
 
+def test_a_batch_reads_the_stored_keys_of_its_days(spark, tmp_path):
+    """Six files, a day each, out of time order, then the first day once more with one new row."""
+    for k in (3, 0, 5, 1, 4, 2, 3):
+        rows = [(100 * k + i, f"2024-01-0{k + 1} 00:00:{i:02d}") for i in range(51 if os.path.exists(f"{tmp_path}/in") and k == 3 else 50)]
+        spark.createDataFrame(rows, "id long, t string").select("id", F.col("t").cast("timestamp").alias("t")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    arriving = spark.readStream.schema("id long, t timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    day = F.floor(F.unix_micros("t") / 86_400_000_000)
+    log = flows.merge_available(arriving, f"{tmp_path}/out", f"{tmp_path}/ck", ["id"], ["t"], day)
+    assert [(r["buckets"], r["stored_read"]) for r in log] == [(1, 0)] * 6 + [(1, 50)]
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == got.select("id").distinct().count() == 301
+
+
+def test_live_traces_of_late_and_repeated_batches(spark, tmp_path):
+    s = 1_000_000
+    rule = GapRule("id", "us", 10 * s)
+    live = flows.LiveTraces(rule, ("v",), (), 20 * s, f"{tmp_path}/live")
+    batch = lambda *rows: spark.createDataFrame([(e, t * s, float(t)) for e, t in rows], "id string, us long, v double")
+    spans = lambda df: sorted((r.id, r.start_us // s, r.end_us // s, r.point_count, r.v) for r in df.collect())
+    live._step(batch(("a", 5), ("a", 0), ("b", 3), (None, 1)), 0)
+    assert spans(live.closed(spark)) == [] and spans(live.open(spark)) == [("a", 0, 5, 2, [0, 5]), ("b", 3, 3, 1, [3])]
+    for _ in range(2):  # a batch that is repeated gives the same
+        live._step(batch(("a", 40), ("a", 12), ("b", 30)), 1)
+        assert spans(live.closed(spark)) == [("b", 3, 3, 1, [3])]  # the horizon is 20: a might still go on at 22
+    live._step(batch(("a", 19), ("b", 20), ("a", 22), ("b", 60)), 2)
+    assert [(r.id, r.us // s) for r in live.late(spark).collect()] == [("a", 19)]
+    live._step(batch(), 3)
+    together = spans(live.closed(spark)) + spans(live.open(spark))
+    assert sorted(together) == [("a", 0, 22, 4, [0, 5, 12, 22]), ("a", 40, 40, 1, [40]), ("b", 3, 3, 1, [3]), ("b", 20, 30, 2, [20, 30]), ("b", 60, 60, 1, [60])]
+
+
+def test_versions(spark, tmp_path):
+    t = versions.VersionedTable(spark, f"{tmp_path}/t")
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, v int, hex_prefix string")
+    got = lambda n=None: sorted(map(tuple, t.read(n).select("id", "v", "hex_prefix").collect()))
+    assert t.create(rows(("a1", 1, "a"), ("a2", 2, "a"), ("b1", 3, "b")), ["id"]) == 0
+    open_read = t.read()  # planned before, read after the next versions are made
+    assert t.upsert(rows(("a1", 10, "a"), ("a1", 11, "a"), ("c1", 4, "c")), ["id"], ["v"]) == 1
+    assert got(0) == [("a1", 1, "a"), ("a2", 2, "a"), ("b1", 3, "b")] and got() == [("a1", 11, "a"), ("a2", 2, "a"), ("b1", 3, "b"), ("c1", 4, "c")]
+    assert sorted(map(tuple, open_read.select("id", "v", "hex_prefix").collect())) == got(0)
+    first, second = t.manifest(0)["folders"], t.manifest(1)["folders"]
+    assert first["b"] == second["b"] and first["a"] != second["a"]  # untouched folders are shared
+    assert t.insert(rows(("b1", 9, "b"), ("b2", 8, "b"), ("b2", 7, "b")), ["id"], ["v"]) == 2
+    assert got()[2:4] == [("b1", 3, "b"), ("b2", 7, "b")]
+    t.upsert(rows(("a1", 99, "a")), ["id"], ["v"], swap=False)
+    assert t.versions() == [0, 1, 2] and ("a1", 11, "a") in got()
+    with pytest.raises(versions.Overtaken):
+        t._swap(2, t.manifest(1))
+    assert t.versions() == [0, 1, 2] and ("b2", 7, "b") in got()
+
+
 def test_scratch_is_cleared(spark):
     from driftline.session import clear_scratch, materialise
     clear_scratch(spark)
