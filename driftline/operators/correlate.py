@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.operators.ordering import Blocks, block_count, value_blocks
@@ -116,7 +115,7 @@ def _average_rank(d: DataFrame, col: str, block: str, out: str) -> DataFrame:
 def spearman(df: DataFrame, cols: list[str], digits: int = 4, blocks: int | None = None) -> DataFrame:
     """Pairs of different columns; ranks are taken over the rows where both are present."""
     blocks = blocks or block_count(df.count())
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    wide = df.select(*[(F.col(c).cast("double") + 0.0).alias(c) for c in cols])  # -0.0 is 0.0
     cuts = value_blocks(wide, cols, blocks)
     for c in cols:
         wide = cuts[c].assign(wide, f"_b_{c}")
@@ -174,82 +173,49 @@ def pair_score(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
 
 
 def _score_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"score": [pair_score(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())]})
+    return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "score": [pair_score(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())]})
 
 
-def _score_pair(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _score_group(pdf).assign(pair=pdf["pair"].iloc[0])
+RANGES = 2048  # of each column at most, so that the counts of range pairs fit one task
 
 
-def _grouped_score(d: DataFrame, group: str, group_rows: int) -> float:
-    """Sum of scores inside each group. Groups above the row limit are cut again by the same method."""
-    sizes = d.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    large = [r[group] for r in sizes.filter(F.col("n") > group_rows).collect()]  # bounded by the range count
-    small = d.filter(~F.col(group).isin(large)) if large else d
-    row = small.groupBy(group).applyInPandas(_score_group, "score double").agg(F.sum("score")).first()
-    total = row[0] or 0.0
-    for g in large:
-        total += _score(d.filter(F.col(group) == g).select("x", "y", "w"), group_rows)
-    return total
+def _score_parts(d: DataFrame) -> DataFrame:
+    """(pair, kind, g, x, y, w): rows that are to be scored group by group; the sum over a pair's groups is its score.
 
-
-def _score(d: DataFrame, group_rows: int) -> float:
-    """Concordant minus discordant pairs of all rows.
-
-    Both values are cut into ranges. Pairs in different ranges of both are settled by the counts per range pair;
-    pairs in one x range are scored in that range; pairs in one y range but different x ranges are scored there with
-    the range number as x. A range that is one single value has only ties and needs no work.
+    Two rows differ in the ranges of both columns, or share a range of x, or share a range of y alone. The first are settled
+    by the counts of range pairs, with range numbers for values; the second among the rows of that range of x; the third
+    among the rows of that range of y, with the range of x for x. A range that is one single value has only ties.
     """
-    n = d.count()
-    if n < 2:
-        return 0.0
-    if n <= group_rows:
-        return d.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_score_group, "score double").first()[0]
-    d = materialise(d)  # read again by every step below
-    cuts = value_blocks(d, ["x", "y"], block_count(n, group_rows // 2, 512))
-    d = cuts["y"].assign(cuts["x"].assign(d, "bx"), "by")
-    cells = d.groupBy("bx", "by").agg(F.sum("w").alias("w")).toPandas()  # at most (2 * 512 + 1)^2 counts
-    grid = np.zeros((cells["bx"].max() + 1, cells["by"].max() + 1))
-    grid[cells["bx"], cells["by"]] = cells["w"]
-    above = np.zeros((grid.shape[0] + 1, grid.shape[1]))
-    above[:-1] = np.cumsum(grid[::-1], axis=0)[::-1]
-    later = above[1:]  # weight in higher x ranges, per y range
-    run = np.cumsum(later, axis=1)
-    cross = float(np.sum(grid * ((run[:, -1:] - run) - (run - later))))
-    in_x = _grouped_score(d.filter(~Blocks.single_valued(F.col("bx"))).select("x", "y", "w", F.col("bx").alias("g")),
-                          "g", group_rows)
-    by_range = (d.filter(~Blocks.single_valued(F.col("by")))
-                .groupBy(F.col("bx").cast("double").alias("x"), "y", F.col("by").alias("g"))
-                .agg(F.sum("w").alias("w")))
-    return cross + in_x + _grouped_score(by_range.select("x", "y", "w", "g"), "g", group_rows)
-
-
-def _tied_pairs(d: DataFrame, key: str) -> dict[int, Row]:
-    """Per pair of columns: pairs of rows with equal ``key``, and rows."""
-    per = d.groupBy("pair", key).agg(F.sum("w").cast("double").alias("t"))
-    rows = per.groupBy("pair").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("p"), F.sum("t").alias("n"))
-    return {r["pair"]: r for r in rows.collect()}  # one row per pair of columns
+    inside = lambda block: ~Blocks.single_valued(F.col(block))
+    number = lambda c: F.col(c).cast("double")
+    by_counts = (d.groupBy("pair", "bx", "by").agg(F.sum("w").alias("w"))
+                 .select("pair", F.lit(0).alias("kind"), F.lit(0).alias("g"), number("bx").alias("x"), number("by").alias("y"), "w"))
+    in_x = d.filter(inside("bx")).select("pair", F.lit(1).alias("kind"), F.col("bx").alias("g"), "x", "y", "w")
+    in_y = (d.filter(inside("by")).groupBy("pair", "bx", "by", "y").agg(F.sum("w").alias("w"))
+            .select("pair", F.lit(2).alias("kind"), F.col("by").alias("g"), number("bx").alias("x"), "y", "w"))
+    return by_counts.unionByName(in_x).unionByName(in_y)
 
 
 def kendall(df: DataFrame, cols: list[str], digits: int = 4, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """tau-b for pairs of different columns. Only range counts and per-range sums reach the driver."""
-    d = materialise(_weighted_pairs(df, cols))
-    tx, ty = _tied_pairs(d, "x"), _tied_pairs(d, "y")
-    sizes = {r["pair"]: r["c"] for r in d.groupBy("pair").agg(F.count(F.lit(1)).alias("c")).collect()}
-    small = [i for i, c in sizes.items() if c <= group_rows]
-    score = {}
-    if small:
-        found = (d.filter(F.col("pair").isin(small)).groupBy("pair")
-                 .applyInPandas(_score_pair, "pair int, score double").collect())  # one row per pair of columns
-        score = {r["pair"]: r["score"] for r in found}
-    rows = []
-    for i, (a, b) in enumerate(combinations(cols, 2)):
-        if i not in sizes:
-            rows.append((a, b, None))
-            continue
-        if i not in score:
-            score[i] = _score(d.filter(F.col("pair") == i).select("x", "y", "w"), group_rows)
-        n0 = tx[i]["n"] * (tx[i]["n"] - 1) / 2
-        den = math.sqrt(max(n0 - tx[i]["p"], 0)) * math.sqrt(max(n0 - ty[i]["p"], 0))
-        rows.append((a, b, round(score[i] / den, digits) if den else None))
-    return df.sparkSession.createDataFrame(rows, SCHEMA)
+    """tau-b for pairs of different columns, NULL where one is constant or no row has both.
+
+    Values are cut into ranges of about half ``group_rows`` rows, for all pairs at once; groups of ranges are scored in
+    tasks of their own, all of them in one job whatever their number. Only the ranges' boundaries reach the driver.
+    """
+    wide = df.select(*[(F.col(c).cast("double") + 0.0).alias(c) for c in cols])  # -0.0 is 0.0
+    cuts = value_blocks(wide, cols, block_count(df.count(), max(1, group_rows // 2), RANGES))
+    for c in cols:
+        wide = cuts[c].assign(wide, f"_b_{c}")
+    d = materialise(_weighted_pairs(wide, cols, {c: f"_b_{c}" for c in cols}))
+    score = _score_parts(d).groupBy("pair", "kind", "g").applyInPandas(_score_group, "pair int, score double").groupBy("pair").agg(F.sum("score").alias("score"))
+
+    values = d.select("pair", F.inline(F.array(*[F.struct(F.lit(c == "x").alias("is_x"), F.col(c).alias("v"), "w") for c in "xy"])))
+    per = values.groupBy("pair", "is_x", "v").agg(F.sum("w").cast("double").alias("t"))
+    ties = F.col("t") * (F.col("t") - 1) / 2
+    tied = per.groupBy("pair").agg(*[F.sum(F.when(F.col("is_x") == F.lit(c == "x"), ties)).alias(f"tied_{c}") for c in "xy"],
+                                   F.sum(F.when(F.col("is_x"), F.col("t"))).alias("n"))
+    pairs = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(combinations(cols, 2))], "pair int, var_1 string, var_2 string")
+    n0 = F.col("n") * (F.col("n") - 1) / 2
+    untied = lambda key: F.sqrt(F.greatest(n0 - F.col(f"tied_{key}"), F.lit(0.0)))
+    return (pairs.join(score, "pair", "left").join(tied, "pair", "left")
+            .select("var_1", "var_2", F.round(F.try_divide(F.col("score"), untied("x") * untied("y")), digits).alias("correlation")))

@@ -215,3 +215,22 @@ def test_paths(spark):
     checks.require_columns(out, ["id", "cluster", "x"])
     with pytest.raises(checks.CheckFailed):
         checks.require_columns(out, ["nothing"])
+
+
+def test_kendall_makes_as_many_jobs_at_any_group_size(spark):
+    df = spark.range(3000).select((F.col("id") * 7919 % 3001).cast("double").alias("x"), (F.col("id") * 104729 % 2999).cast("double").alias("y"))
+    jobs, values = [], []
+    for rows in (10**6, 50):
+        spark.sparkContext.setJobGroup(f"kendall-{rows}", "")
+        values.append(correlate.kendall(df, ["x", "y"], 10, rows).first().correlation)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"kendall-{rows}")))
+    assert values[0] == values[1] and jobs[0] == jobs[1] < 20
+
+
+def test_signed_zeros_are_one_value(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.choice([-0.0, 0.0, 1.0, -1.0, 2.0], 200), rng.normal(size=200).round(1)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    assert math.isclose(correlate.kendall(df, ["x", "y"], 10, 40).first().correlation, plain.kendall(x + 0.0, y + 0.0), abs_tol=1e-9)
+    ranks = [np.array([(v < k).sum() + ((v == k).sum() + 1) / 2 for k in v]) for v in (x, y)]
+    assert math.isclose(correlate.spearman(df, ["x", "y"], 10, blocks=9).first().correlation, np.corrcoef(*ranks)[0, 1], abs_tol=1e-9)
