@@ -386,7 +386,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = materialise(may_link(body, named))
     wanted = materialise(firsts.join(near, "node"))
     ids = broadcast_if_small(wanted.select(F.col("first_doc").alias("doc_id")), wanted.count(), 16)
-    sets = materialise(token_sets(body.join(ids, "doc_id", "left_semi")).join(near, "node", "left_semi").dropDuplicates(["node"]))
+    of_first = body["doc_id"].eqNullSafe(ids["doc_id"])  # a set that only documents without id have is fetched by its null
+    sets = materialise(token_sets(body.join(ids, of_first, "left_semi")).join(near, "node", "left_semi").dropDuplicates(["node"]))
     edges, linked = link_counts(sets, wanted.select("node", "docs")) if links else (linked_nodes(sets), None)
     roots = components(edges)
     member = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -186,6 +186,18 @@ def test_jaccard_families(spark, seed):
     assert got == jaccard_components(rows)
 
 
+@pytest.mark.parametrize("links", [True, False])
+def test_jaccard_links_documents_without_id(spark, links):
+    """A set that only documents without id have links like any other."""
+    words = [f"w{i}" for i in range(100)]
+    alike = " ".join(words[:-1] + ["other"])
+    rows = [(1, " ".join(words), "en", "w"), (None, alike, "en", "w"), (None, "something else in a document without id", "en", "w"), (3, "five words that stand alone", "en", "w")]
+    got = {(r.doc_id, r.n_shingles): r for r in jaccard.jaccard_components(documents(spark, rows), links=links).collect()}
+    assert got[(None, 96)].component_id == got[(1, 96)].component_id == 1 and got[(3, 1)].component_id == 3
+    if links:
+        assert got[(None, 96)].n_links == got[(1, 96)].n_links == 1 and got[(3, 1)].n_links == 0
+
+
 @pytest.mark.parametrize("seed, rows, tokens", [(1, 2048, 1_000_000), (2, 2048, 1_000_000), (3, 5, 1_000_000), (4, 2048, 40)])
 def test_jaccard_counts_every_link(spark, monkeypatch, seed, rows, tokens):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows)
