@@ -32,6 +32,25 @@ def join_size_fault(spark, sf_dir):
     return checks.join_size(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), 4)
 
 
+@query("SELECT (SELECT count(*) FROM orders) * 5 AS expected, (SELECT count(*) FROM lineitem) AS actual")
+def join_size_differs(spark, sf_dir):
+    """A join that should have given five rows an order."""
+    return checks.join_size(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), 5)
+
+
+@query("""SELECT o_orderkey, 'repeated' AS fault FROM orders WHERE o_orderkey % 11 = 0
+UNION ALL SELECT o_orderkey, 'length' FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey, 'length' FROM orders WHERE o_orderkey % 77 = 0
+UNION ALL SELECT o_orderkey, 'length' FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 13 = 0
+UNION ALL SELECT o_orderkey, 'length' FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 13 = 0 AND o_orderkey % 11 = 0""")
+def key_and_length_faults(spark, sf_dir):
+    """Rows of which some come twice, some have an array too short and some a missing one."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2))).alias("a"),
+                                              F.when(F.col("o_orderkey") % 13 != 0, F.array(F.lit(1), F.lit(2))).alias("b"))
+    rows = o.unionByName(o.where("o_orderkey % 11 = 0"))
+    twice = checks.repeated_keys(rows, ["o_orderkey"]).select("o_orderkey", F.lit("repeated").alias("fault"))
+    return twice.unionByName(checks.wrong_lengths(rows, ["a", "b"], 2).select("o_orderkey", F.lit("length").alias("fault")))
+
+
 @query("SELECT max(abs(o_totalprice - o_totalprice / (1 + o_orderkey % 7))) AS max_difference FROM orders")
 def largest_difference(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators import density, exemplars, summaries, windows
+from driftline.operators import density, exemplars, moments, summaries, windows
 from driftline.operators.clusterer import Clusterer
 from driftline.operators.coding import Coder
 from driftline.operators.scaling import Scaler
@@ -89,6 +89,32 @@ def most_anomalous(spark, sf_dir):
     return Coder.fit(e, "embedding", 16).most_anomalous(e, "embedding", "vec_id", 20).select("vec_id", "label")
 
 
+@query("SELECT vec_id, true AS same_code, true AS same_error FROM embeddings")
+def code_merged_from_days(spark, sf_dir):
+    """States fitted on four parts, stored one after the other and merged, give the code of one fit over all rows to nine
+    digits, and the error of the library's own principal components."""
+    e = vectors(spark, sf_dir)
+    path = scratch_path(spark, "states")
+    for days in ((0, 1), (2, 3)):
+        moments.save_states(moments.fit_parts(e.where((F.col("vec_id") % 4).isin(*days)), "embedding", F.col("vec_id") % 4), path)
+    whole = moments.coder_of(moments.fit_parts(e, "embedding", F.lit("all")), 16)
+    both = whole.encode(moments.coder_of(moments.load_states(spark, path), 16).with_error(e, "embedding", out="merged_error").withColumnRenamed("embedding", "v"), "v", "whole")
+    both = both.join(moments.coder_of(moments.load_states(spark, path), 16).encode(e, "embedding", "merged").select("vec_id", "merged"), "vec_id")
+    own = Coder.fit(e, "embedding", 16).with_error(e, "embedding").select("vec_id", "error")
+    near = F.forall(F.zip_with("whole", "merged", lambda a, b: F.abs(a - b) < 1e-9), lambda x: x)
+    return both.join(own, "vec_id").select("vec_id", near.alias("same_code"), (F.abs(F.col("merged_error") - F.col("error")) < 1e-9).alias("same_error"))
+
+
+@query("""SELECT vec_id % 5 = 0 AS held_out, count(*) AS n, true AS plausible FROM embeddings GROUP BY 1""")
+def held_out_code_error(spark, sf_dir):
+    """A code fitted without every fifth vector: its error on those beside that on the others, both of the size of a dimension."""
+    e = vectors(spark, sf_dir)
+    back = F.col("vec_id") % 5 == 0
+    coder = moments.coder_of(moments.fit_parts(e.where(~back), "embedding", F.lit("train")), 16)
+    split = moments.error_by_split(coder, e, "embedding", back)
+    return split.select("held_out", "n", F.col("mean_error").between(0.0, 2.0).alias("plausible"))
+
+
 @query("SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY 1")
 def cluster_sizes(spark, sf_dir):
     return summaries.cluster_sizes(vectors(spark, sf_dir).withColumnRenamed("label", "cluster"))

@@ -230,6 +230,17 @@ def flatten_features(spark, sf_dir):
         .alias("weighted_sum"), F.round(F.array_min("features"), 6).alias("lowest"))
 
 
+@query(WINDOWS_SQL + """SELECT user_id, start_us, 30 AS n_features FROM ww
+WHERE len(list_filter(ground_speeds, lambda x: x < 3)) = 0 AND len(list_filter(headings, lambda x: x < 4)) = 0""")
+def complete_features(spark, sf_dir):
+    """Windows with a NULL or NaN in any feature give no vector."""
+    w = event_windows(spark, sf_dir).withColumns({
+        "key": F.struct("user_id", "start_us"), "time_offsets": F.transform("time_offsets", lambda t: t / F.lit(1e6)),
+        "ground_speeds": F.transform("ground_speeds", lambda v: F.when(v >= 3, v)), "headings": F.transform("headings", lambda v: F.when(v < 4, float("nan")).otherwise(v))})
+    flat = windows.flatten_features(w, "key", ["time_offsets", "ground_speeds", "headings"], N)
+    return flat.select("key.user_id", "key.start_us", F.size("features").alias("n_features"))
+
+
 @query(WINDOWS_SQL + """
 SELECT user_id, start_us, CASE WHEN list_max(ground_speeds) > 150 THEN 'ground_speeds'
   WHEN list_max(headings) > 350 THEN 'headings' END AS reason FROM ww""")
