@@ -15,9 +15,13 @@ from driftline.functions import arrays as A
 
 
 def _running(values: Column) -> Column:
-    """Cumulative sums of a short array."""
-    return A.bind(values, lambda v: F.transform(v, lambda x, i: F.aggregate(
-        F.slice(v, F.lit(1), i + 1), F.lit(0.0), lambda s, e: s + e)))
+    """Cumulative sums of a short array, each from the one before."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
+
+    def add(so_far: Column, x: Column) -> Column:
+        total = so_far["sum"] + x
+        return F.struct(total.alias("sum"), F.array_append(so_far["all"], total).alias("all"))
+    return F.aggregate(values, start, add, lambda done: done["all"])
 
 
 def dead_reckon(wins: DataFrame, keys: list[str], mode: str = "offset", headings: str = "headings",

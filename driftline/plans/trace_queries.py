@@ -278,44 +278,44 @@ def event_paths(spark, sf_dir, mode="offset") -> DataFrame:
     return paths.dead_reckon(w, KEYS, mode)
 
 
-@query(PATHS_SQL + """SELECT user_id, start_us, point_idx::INTEGER AS point_idx, round(x, 1) + 0.0 AS x,
-round(y, 1) + 0.0 AS y, z, heading_deg, ground_speed, time_sec FROM path""")
+@query(PATHS_SQL + """SELECT user_id, start_us, point_idx::INTEGER AS point_idx, round(x, 2) + 0.0 AS x,
+round(y, 2) + 0.0 AS y, z, heading_deg, ground_speed, time_sec FROM path""")
 def dead_reckoning(spark, sf_dir):
     p = paths.path_points(event_paths(spark, sf_dir), KEYS)
-    return p.select(*KEYS, "point_idx", (F.round("x", 1) + 0.0).alias("x"), (F.round("y", 1) + 0.0).alias("y"),
+    return p.select(*KEYS, "point_idx", (F.round("x", 2) + 0.0).alias("x"), (F.round("y", 2) + 0.0).alias("y"),
                     "z", "heading_deg", "ground_speed", "time_sec")
 
 
 @query(WINDOWS_SQL + """
 SELECT user_id, start_us, (i - 1)::INTEGER AS point_idx,
-   round(round(sum(v * sin(radians(h)) * dt) OVER w, 2), 1) + 0.0 AS x,
-   round(round(sum(v * cos(radians(h)) * dt) OVER w, 2), 1) + 0.0 AS y
+   round(sum(v * sin(radians(h)) * dt) OVER w, 2) + 0.0 AS x,
+   round(sum(v * cos(radians(h)) * dt) OVER w, 2) + 0.0 AS y
 FROM (SELECT user_id, start_us, i, headings[i] AS h, ground_speeds[i] AS v,
         coalesce((time_offsets[i] - time_offsets[i - 1]) / 1e6, 0.0) AS dt FROM ww, range(1, 11) r(i))
 WINDOW w AS (PARTITION BY user_id, start_us ORDER BY i ROWS UNBOUNDED PRECEDING)""")
 def dead_reckoning_by_step(spark, sf_dir):
     p = paths.path_points(event_paths(spark, sf_dir, "delta"), KEYS)
-    return p.select(*KEYS, "point_idx", (F.round("x", 1) + 0.0).alias("x"), (F.round("y", 1) + 0.0).alias("y"))
+    return p.select(*KEYS, "point_idx", (F.round("x", 2) + 0.0).alias("x"), (F.round("y", 2) + 0.0).alias("y"))
 
 
-@query(ROTATED_SQL + """SELECT user_id, start_us, point_idx::INTEGER AS point_idx, round(x, 1) + 0.0 AS x,
-round(y, 1) + 0.0 AS y, z, round(original_x, 1) + 0.0 AS original_x, round(original_y, 1) + 0.0 AS original_y FROM rot""")
+@query(ROTATED_SQL + """SELECT user_id, start_us, point_idx::INTEGER AS point_idx, round(x, 2) + 0.0 AS x,
+round(y, 2) + 0.0 AS y, z, round(original_x, 2) + 0.0 AS original_x, round(original_y, 2) + 0.0 AS original_y FROM rot""")
 def rotated_paths(spark, sf_dir):
     p = paths.path_points(paths.rotate_to_y(event_paths(spark, sf_dir), KEYS), KEYS)
-    one = lambda c: (F.round(c, 1) + 0.0).alias(c)
+    one = lambda c: (F.round(c, 2) + 0.0).alias(c)
     return p.select(*KEYS, "point_idx", one("x"), one("y"), "z", one("original_x"), one("original_y"))
 
 
 @query(ROTATED_SQL + """,
 lab AS (SELECT user_id, start_us, (start_us % 3)::INTEGER AS cluster FROM ww)
-SELECT lab.user_id, lab.start_us, cluster, point_idx::INTEGER AS point_idx, round(x, 1) + 0.0 AS x, round(y, 1) + 0.0 AS y, z,
-  heading_deg, ground_speed, time_sec, round(original_x, 1) + 0.0 AS original_x, round(original_y, 1) + 0.0 AS original_y
+SELECT lab.user_id, lab.start_us, cluster, point_idx::INTEGER AS point_idx, round(x, 2) + 0.0 AS x, round(y, 2) + 0.0 AS y, z,
+  heading_deg, ground_speed, time_sec, round(original_x, 2) + 0.0 AS original_x, round(original_y, 2) + 0.0 AS original_y
 FROM lab LEFT JOIN rot USING (user_id, start_us)""")
 def labelled_paths(spark, sf_dir):
     rot = paths.rotate_to_y(event_paths(spark, sf_dir), KEYS).withColumn("key", F.struct(*KEYS)).drop(*KEYS)
     lab = event_windows(spark, sf_dir).select(
         F.struct(*KEYS).alias("key"), (F.col("start_us") % 3).cast("int").alias("cluster"))
-    one = lambda c: (F.round(c, 1) + 0.0).alias(c)
+    one = lambda c: (F.round(c, 2) + 0.0).alias(c)
     return paths.label_paths(lab, rot, "key").select(
         "key.user_id", "key.start_us", "cluster", "point_idx", one("x"), one("y"), "z", "heading_deg", "ground_speed",
         "time_sec", one("original_x"), one("original_y"))
