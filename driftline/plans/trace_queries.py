@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import arrays as A
 from driftline.functions import scalars as S
-from driftline.operators import checks, paths, windows
+from driftline.operators import checks, paths, summaries, windows
 from driftline.operators.summaries import trace_summary
 from driftline.operators.traces import GapRule, gap_flags, locate, trace_arrays, traces
 from driftline.plans import chain
@@ -126,6 +126,38 @@ def trace_summary_stats(spark, sf_dir):
                     F.round("value_median", 6).alias("value_median"))
 
 
+# The five measures of a trace, as whole-number expressions over the event's number, or its value.
+MEASURED = {"altitude": "event_id % 45000", "speed": "value", "vertical_rate": "event_id * 3 % 4000 - 2000",
+            "latitude": "(event_id * 7919 % 180000 - 90000) / 1000.0", "longitude": "(event_id * 104729 % 360000 - 180000) / 1000.0"}
+
+
+def _measure_sql(name: str, what: str) -> str:
+    v = f"({what})::DOUBLE"
+    return (f"round(avg({v}), 9) AS {name}_mean, round(stddev({v}), 6) AS {name}_std, min({v}) AS {name}_min, max({v}) AS {name}_max, "
+            f"round(quantile_cont({v}, 0.5), 6) AS {name}_median")
+
+
+@query(POINTS_SQL + f"""SELECT user_id, trace_no, start_us, max(us) - min(us) AS duration_us, count(*) AS point_count,
+{', '.join(_measure_sql(n, w) for n, w in MEASURED.items())} FROM l GROUP BY user_id, trace_no, start_us HAVING max(us) - min(us) >= 900000000""")
+def trace_summary_measures(spark, sf_dir):
+    """All figures of all five measures, for traces of at least 15 minutes."""
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", *[F.expr(w).cast("double").alias(f"_{n}") for n, w in MEASURED.items()])
+    s = trace_summary(ev, RULE, {f"_{n}": n for n in MEASURED}, 15 * 60 * 1_000_000)
+    figures = [f"{n}_{f}" for n in MEASURED for f in ("mean", "std", "min", "max", "median")]
+    rounded = lambda c: F.round(c, {"mean": 9, "std": 6, "median": 6}[c.rsplit("_", 1)[1]]).alias(c) if not c.endswith(("_min", "_max")) else F.col(c)
+    return s.select("user_id", "trace_no", "start_us", "duration_us", "point_count", *map(rounded, figures))
+
+
+@query(WINDOWS_SQL + """SELECT (start_us % 4)::INTEGER AS cluster, count(*) AS n, round(avg(list_avg(ground_speeds)), 8) AS mean_speed,
+round(avg(list_avg(headings)), 8) AS mean_heading, round(avg(duration_us), 4) AS mean_duration_us FROM ww WHERE start_us % 4 <> 0 GROUP BY 1""")
+def cluster_durations(spark, sf_dir):
+    """Means per cluster of windows, their duration with them; cluster 0 stands for noise."""
+    w = event_windows(spark, sf_dir).withColumn("key", F.struct(*KEYS))
+    labels = w.select("key", (F.col("start_us") % 4).cast("int").alias("cluster"))
+    c = summaries.cluster_characteristics(w, labels, "key", {"ground_speeds": "mean_speed", "headings": "mean_heading"}, noise=0)
+    return c.select("cluster", "n", *[F.round(m, d).alias(m) for m, d in (("mean_speed", 8), ("mean_heading", 8), ("mean_duration_us", 4))])
+
+
 @query(POINTS_SQL + """
 SELECT user_id, trace_no,
        printf('%02d:%02d:%02d.%06d', d // 3600000000, (d // 60000000) % 60, (d // 1000000) % 60, d % 1000000) AS duration
