@@ -405,7 +405,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = materialise(jaccard_components(docs, id_col, text_col, links=False))
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     keep = found.where(stays).select("doc_id")
-    lost = materialise(found.where(~stays).select("doc_id").distinct().join(keep, "doc_id", "left_anti").withColumnRenamed("doc_id", "_lost"))
-    out = docs.join(broadcast_if_small(lost, lost.count(), 16), F.col(id_col).cast("long") == F.col("_lost"), "left_anti")
+    lost = materialise(found.where(~stays).select("doc_id").distinct().join(keep, "doc_id", "left_anti"))
+    small = broadcast_if_small(lost, lost.count(), 16).alias("lost")  # named on both sides: documents may have any columns
+    out = docs.alias("kept").join(small, F.col(f"kept.{id_col}").cast("long") == F.col("lost.doc_id"), "left_anti")
     unique = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     return out if unique else out.dropDuplicates([id_col, text_col])

@@ -89,10 +89,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Documents are told apart by a row number written beside them, so repeated ids stay repeated rows.
     """
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    plain = numbered.select("doc_id", "source", "text", "_row")
-    times = mix(plain, whole=True, carry=("_row",), **options).where("size > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_n")).where("_n > 0")
-    return (numbered.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_row", "_n", "_copy"))
+    # the document travels as one column, so that its own columns may have any names
+    numbered = materialise(docs.select(F.struct("*").alias("doc")).withColumn("row", F.monotonically_increasing_id()))
+    plain = numbered.select("doc.doc_id", "doc.source", "doc.text", "row")
+    times = mix(plain, whole=True, carry=("row",), **options).where("size > 0").select("row", (F.col("taken") / F.col("size")).cast("int").alias("n")).where("n > 0")
+    return numbered.join(times, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc.*")
 
 
 def mix_sql(table: str = "documents", seed: str = "mix") -> str:

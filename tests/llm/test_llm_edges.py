@@ -399,3 +399,16 @@ def test_language_learns_beside_many_copies(spark):
     got = language.predict(documents(spark, few), language.fit(docs, rows_per_label=30)).collect()
     want = {i: lang for i, _, lang, _ in few}
     assert np.mean([r.lang_pred == want[r.doc_id] for r in got]) > 0.95
+
+
+def test_stages_take_clashing_names(spark, odd):
+    """Columns named like those the stages add inside come back as they were."""
+    names = ["_row", "_copy", "_n", "_lost", "row", "n", "doc", "copy", "lost", "kept", "root", "component_id"]
+    rows = [r for r in odd if r[0] != 5 and r[0] != 6]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    named = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in names])
+    for stage in (mixing.mixed_documents, jaccard.one_of_each_group):
+        got, plain = stage(named), stage(docs)
+        assert got.columns == named.columns
+        assert sorted(map(str, got.select(*docs.columns).collect())) == sorted(map(str, plain.collect()))
+        assert got.where(F.col("_row") != "own _row").count() == 0 and got.where(F.col("lost") != "own lost").count() == 0
