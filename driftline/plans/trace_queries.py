@@ -149,13 +149,13 @@ def trace_summary_measures(spark, sf_dir):
 
 
 @query(WINDOWS_SQL + """SELECT (start_us % 4)::INTEGER AS cluster, count(*) AS n, round(avg(list_avg(ground_speeds)), 8) AS mean_speed,
-round(avg(list_avg(headings)), 8) AS mean_heading, round(avg(duration_us), 4) AS mean_duration_us FROM ww WHERE start_us % 4 <> 0 GROUP BY 1""")
+round(avg(list_avg(headings)), 8) AS mean_heading, round(avg(duration_us), 2) AS mean_duration_us FROM ww WHERE start_us % 4 <> 0 GROUP BY 1""")
 def cluster_durations(spark, sf_dir):
     """Means per cluster of windows, their duration with them; cluster 0 stands for noise."""
     w = event_windows(spark, sf_dir).withColumn("key", F.struct(*KEYS))
     labels = w.select("key", (F.col("start_us") % 4).cast("int").alias("cluster"))
     c = summaries.cluster_characteristics(w, labels, "key", {"ground_speeds": "mean_speed", "headings": "mean_heading"}, noise=0)
-    return c.select("cluster", "n", *[F.round(m, d).alias(m) for m, d in (("mean_speed", 8), ("mean_heading", 8), ("mean_duration_us", 4))])
+    return c.select("cluster", "n", *[F.round(m, d).alias(m) for m, d in (("mean_speed", 8), ("mean_heading", 8), ("mean_duration_us", 2))])
 
 
 @query(POINTS_SQL + """
