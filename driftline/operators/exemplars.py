@@ -3,7 +3,8 @@
 A cluster that fits one task is compared there. In a larger one, members are first sorted out by exact bounds from the
 cluster's moments: the mean distance of x to all members is at least |x - mean| and at most
 sqrt(|x - mean|^2 + variance). Only members that can still be smallest or largest are compared with every member,
-block against block; just one sum per candidate and block leaves a task.
+block against block; just one sum per candidate and block leaves a task. Which clusters are large and how large a block
+is are two things: a block holds as many rows as a task's memory allows, since each row is sent once per block facing it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from driftline.functions.vectors import distances, stack
 from driftline.session import broadcast_if_small
 
 TIE_DIGITS = 9  # mean distances that agree to this many digits count as equal; the lower id then wins
+BLOCK_NUMBERS = 1 << 20  # components held in a block of rows
+BLOCK_ROWS = 16384
+SLICE = 256  # rows of a block compared with the other block at once
 
 
 def _means_in_task(metric: str):
@@ -41,9 +45,13 @@ def _block_sums(metric: str):
     def run(cand: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if cand.empty or block.empty:
             return pd.DataFrame({"cluster": [], "id": [], "total": []})
-        d = distances(stack(cand["v"]), stack(block["v"]), metric)
-        d[cand["id"].to_numpy()[:, None] == block["id"].to_numpy()[None, :]] = 0.0
-        return pd.DataFrame({"cluster": cand["cluster"], "id": cand["id"], "total": d.sum(axis=1)})
+        x, y = stack(cand["v"]), stack(block["v"])
+        total, own, other = np.empty(len(x)), cand["id"].to_numpy(), block["id"].to_numpy()
+        for i in range(0, len(x), SLICE):
+            d = distances(x[i:i + SLICE], y, metric)
+            d[own[i:i + SLICE, None] == other[None, :]] = 0.0
+            total[i:i + SLICE] = d.sum(axis=1)
+        return pd.DataFrame({"cluster": cand["cluster"], "id": cand["id"], "total": total})
     return run
 
 
@@ -58,7 +66,7 @@ def _bounds(metric: str) -> tuple[Column, Column]:
     return add(off), add(F.zip_with(off, "spread", lambda o, s: F.sqrt(o * o + s)))
 
 
-def _large(pts: DataFrame, sizes: DataFrame, n_large: int, metric: str, in_task: int, dim: int,
+def _large(pts: DataFrame, sizes: DataFrame, n_large: int, metric: str, block_rows: int, dim: int,
            schema: str) -> DataFrame:
     vec = array_to_vector("v")
     moments = pts.groupBy("cluster").agg(
@@ -74,7 +82,7 @@ def _large(pts: DataFrame, sizes: DataFrame, n_large: int, metric: str, in_task:
     cand = (bounded.join(broadcast_if_small(limits, n_large, 24), "cluster")
             .filter((F.col("low") <= F.col("least") * slack) | (F.col("high") * slack >= F.col("most")))
             .select("cluster", "id", "v"))
-    per = lambda c: F.ceil(F.col(c) / F.lit(in_task)).cast("int")
+    per = lambda c: F.ceil(F.col(c) / F.lit(block_rows)).cast("int")
     plan = (sizes.join(cand.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_cand")), "cluster")
             .select("cluster", "n", per("n").alias("blocks"), per("n_cand").alias("chunks")))
     plan = broadcast_if_small(plan, n_large, 32)
@@ -96,8 +104,11 @@ def _large(pts: DataFrame, sizes: DataFrame, n_large: int, metric: str, in_task:
 
 
 def find_exemplars(df: DataFrame, id_col: str, vec_col: str, cluster_col: str = "cluster", noise: int = -1,
-                   metric: str = "euclidean", in_task: int = 4096) -> DataFrame:
-    """(cluster, typical id, extreme id) for clusters of two or more rows, without noise."""
+                   metric: str = "euclidean", in_task: int = 4096, block_rows: int | None = None) -> DataFrame:
+    """(cluster, typical id, extreme id) for clusters of two or more rows, without noise.
+
+    A cluster of more than ``in_task`` rows is compared in blocks of ``block_rows``, or as many as hold ``BLOCK_NUMBERS``.
+    """
     pts = df.filter(F.col(cluster_col) != noise).select(
         F.col(cluster_col).alias("cluster"), F.col(id_col).alias("id"),
         F.col(vec_col).cast("array<double>").alias("v"))
@@ -112,10 +123,11 @@ def find_exemplars(df: DataFrame, id_col: str, vec_col: str, cluster_col: str =
     if n_large == 0:
         return pts.groupBy("cluster").applyInPandas(lone, out_t)
     dim = pts.select(F.size("v")).first()[0]
+    block_rows = block_rows or max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // max(1, dim)))
     hot = broadcast_if_small(large, n_large, 16)
     small = pts.join(hot, "cluster", "left_anti").groupBy("cluster").applyInPandas(lone, out_t)
     return small.unionByName(_large(pts.join(hot.select("cluster"), "cluster", "left_semi"), large, n_large, metric,
-                                    in_task, dim, schema))
+                                    block_rows, dim, schema))
 
 
 def label_exemplars(labels: DataFrame, found: DataFrame, id_col: str, cluster_col: str = "cluster") -> DataFrame:

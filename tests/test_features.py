@@ -234,3 +234,24 @@ def test_signed_zeros_are_one_value(spark):
     assert math.isclose(correlate.kendall(df, ["x", "y"], 10, 40).first().correlation, plain.kendall(x + 0.0, y + 0.0), abs_tol=1e-9)
     ranks = [np.array([(v < k).sum() + ((v == k).sum() + 1) / 2 for k in v]) for v in (x, y)]
     assert math.isclose(correlate.spearman(df, ["x", "y"], 10, blocks=9).first().correlation, np.corrcoef(*ranks)[0, 1], abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_exemplar_blocks_do_not_shrink_with_the_limit_of_one_task(spark, metric, monkeypatch):
+    """400 members over a limit of 5: not 80 times 80 groups but one; cut into blocks, the exemplars stay the same."""
+    x = np.random.default_rng(12).normal(size=(400, 3)).round(2)
+    df = frame(spark, x, cluster=np.zeros(400, int))
+    diff = np.abs(x[:, None] - x[None])
+    d = (np.sqrt((diff ** 2).sum(-1)) if metric == "euclidean" else diff.sum(-1)).mean(1).round(9)
+    groups = spark.sparkContext.accumulator(0)
+    sums = exemplars._block_sums(metric)
+
+    def counted(cand, block):
+        groups.add(1)
+        return sums(cand, block)
+
+    monkeypatch.setattr(exemplars, "_block_sums", lambda metric: counted)
+    for block_rows in (None, 150):
+        got = exemplars.find_exemplars(df, "id", "v", metric=metric, in_task=5, block_rows=block_rows).first()
+        assert (got.typical, got.extreme) == (d.argmin(), d.argmax())
+        assert groups.value <= (1 if block_rows is None else 10)
