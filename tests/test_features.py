@@ -255,3 +255,10 @@ def test_exemplar_blocks_do_not_shrink_with_the_limit_of_one_task(spark, metric,
         got = exemplars.find_exemplars(df, "id", "v", metric=metric, in_task=5, block_rows=block_rows).first()
         assert (got.typical, got.extreme) == (d.argmin(), d.argmax())
         assert groups.value <= (1 if block_rows is None else 10)
+
+
+def test_manhattan_sums_by_order():
+    rng = np.random.default_rng(13)
+    x, y = rng.normal(1e4, 2, (70, 6)).round(1), rng.normal(1e4, 2, (90, 6)).round(1)
+    y[:30] = y[0]
+    assert np.allclose(exemplars._sums_by_order(x, y), np.abs(x[:, None] - y[None]).sum((1, 2)), rtol=0, atol=1e-9)
