@@ -176,7 +176,8 @@ def _score_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "score": [pair_score(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())]})
 
 
-RANGES = 2048  # of each column at most, so that the counts of range pairs fit one task
+RANGES = 2048  # of each column at most
+STRIP = 64  # ranges that are settled together, so that a task gets STRIP / RANGES of the counts of range pairs
 
 
 def _score_parts(d: DataFrame) -> DataFrame:
@@ -185,11 +186,19 @@ def _score_parts(d: DataFrame) -> DataFrame:
     Two rows differ in the ranges of both columns, or share a range of x, or share a range of y alone. The first are settled
     by the counts of range pairs, with range numbers for values; the second among the rows of that range of x; the third
     among the rows of that range of y, with the range of x for x. A range that is one single value has only ties.
+
+    The counts of range pairs are settled in the same three ways by strips of ranges, so no task gets all of them.
     """
     inside = lambda block: ~Blocks.single_valued(F.col(block))
     number = lambda c: F.col(c).cast("double")
-    by_counts = (d.groupBy("pair", "bx", "by").agg(F.sum("w").alias("w"))
-                 .select("pair", F.lit(0).alias("kind"), F.lit(0).alias("g"), number("bx").alias("x"), number("by").alias("y"), "w"))
+    strip = lambda c: F.floor(F.col(c) / STRIP).cast("int")
+    cells = d.groupBy("pair", "bx", "by").agg(F.sum("w").alias("w")).withColumns({"sx": strip("bx"), "sy": strip("by")})
+    by_strips = (cells.groupBy("pair", "sx", "sy").agg(F.sum("w").alias("w"))
+                 .select("pair", F.lit(0).alias("kind"), F.lit(0).alias("g"), number("sx").alias("x"), number("sy").alias("y"), "w"))
+    in_sx = cells.select("pair", F.lit(3).alias("kind"), F.col("sx").alias("g"), number("bx").alias("x"), number("by").alias("y"), "w")
+    in_sy = (cells.groupBy("pair", "sx", "sy", "by").agg(F.sum("w").alias("w"))
+             .select("pair", F.lit(4).alias("kind"), F.col("sy").alias("g"), number("sx").alias("x"), number("by").alias("y"), "w"))
+    by_counts = by_strips.unionByName(in_sx).unionByName(in_sy)
     in_x = d.filter(inside("bx")).select("pair", F.lit(1).alias("kind"), F.col("bx").alias("g"), "x", "y", "w")
     in_y = (d.filter(inside("by")).groupBy("pair", "bx", "by", "y").agg(F.sum("w").alias("w"))
             .select("pair", F.lit(2).alias("kind"), F.col("by").alias("g"), number("bx").alias("x"), "y", "w"))

@@ -262,3 +262,17 @@ def test_manhattan_sums_by_order():
     x, y = rng.normal(1e4, 2, (70, 6)).round(1), rng.normal(1e4, 2, (90, 6)).round(1)
     y[:30] = y[0]
     assert np.allclose(exemplars._sums_by_order(x, y), np.abs(x[:, None] - y[None]).sum((1, 2)), rtol=0, atol=1e-9)
+
+
+def test_kendall_counts_of_range_pairs_are_split_over_groups(spark):
+    """200 ranges of each column: no group holds more than a strip of their pairs, and the score is that of all pairs."""
+    rng = np.random.default_rng(14)
+    x = rng.permutation(3000).astype(float)
+    y = np.round(x + rng.normal(0, 900, 3000), 0)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    cuts = correlate.value_blocks(df, ["x", "y"], 200)
+    wide = cuts["y"].assign(cuts["x"].assign(df, "_b_x"), "_b_y")
+    parts = correlate._score_parts(correlate._weighted_pairs(wide, ["x", "y"], {"x": "_b_x", "y": "_b_y"}))
+    largest = parts.groupBy("pair", "kind", "g").count().agg(F.max("count")).first()[0]
+    assert largest < 1500  # about 2900 pairs of ranges hold rows
+    assert math.isclose(correlate.kendall(df, ["x", "y"], 10, 30).first().correlation, plain.kendall(x, y), abs_tol=1e-9)
