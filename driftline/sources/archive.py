@@ -2,7 +2,8 @@
 
 The files of an archive have an index, a table of (path, day, prefix, icao, bytes) that is written with them, or made by Spark
 from the listing of an archive that comes without one. The source ``trace_archive`` plans from that index: filters on day, prefix and icao are taken over and read
-from it only the files that hold them; the files left are packed into tasks of about equal bytes. A task opens one file at a
+from it only the files that hold them; the files left are packed into tasks of about equal bytes. The plan reads their sizes
+alone: a task gets places in the index and reads its own rows there, so the driver holds no row a file. A task opens one file at a
 time and hands its points on in parts of bounded size, so no row holds a whole trace. A file that cannot be read gives one
 row that says so, and so does every point that lacks something: points and rejects come from the same pass.
 
@@ -18,6 +19,7 @@ import os
 import zlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as pafs
@@ -32,7 +34,7 @@ from driftline.sources.reports import UNREADABLE, trace_rows
 INDEX = "path string, day date, prefix string, icao string, bytes long"
 PART = "path string, day date, prefix string, icao string, name string, base double, part int, points array<array<string>>, fault string"
 PACKED_BYTES = 64 << 20
-OPEN_BYTES = 1 << 20  # what opening a file costs, in bytes read
+OPEN_BYTES = 1 << 14  # what opening a file costs, in bytes read: tasks of thousands of small files, not of dozens
 PART_POINTS = 1000
 BATCH_POINTS = 4 * PART_POINTS  # handed on together; files without points are a few bytes each
 
@@ -107,12 +109,14 @@ def index_archive(spark: SparkSession, path: str, index: str | None = None) -> s
 # ---- reading -------------------------------------------------------------------------------------------------
 
 class Files(InputPartition):
+    """Places in the index: (its file, row group, first and last row among those that the filters leave, bytes)."""
+
     def __init__(self, files: list[tuple]):
         self.files = files
 
 
 def packed_by_bytes(files: list[tuple], most: int) -> list[Files]:
-    """Index rows in order, cut into runs of at most ``most`` bytes (a larger file is a run of its own)."""
+    """Rows in order, cut into runs of at most ``most`` bytes, which are the last of five fields (a larger row is a run of its own)."""
     out: list[Files] = []
     run, size = [], 0
     for row in files:
@@ -184,15 +188,31 @@ class ArchiveReader(DataSourceReader):
             else:
                 self.conditions.append(condition)
 
-    def partitions(self) -> Sequence[InputPartition]:
-        fs, at = file_system(self.index)
+    def _chosen(self):
         chosen = None
         for c in self.conditions:
             chosen = c if chosen is None else chosen & c
-        rows = ds.dataset(at, filesystem=fs, format="parquet").to_table(filter=chosen, columns=["path", "day", "prefix", "icao", "bytes"])
-        # only files that were not pruned come here, a short row each, as in any listing of files
-        rows = rows.sort_by([("day", "ascending"), ("prefix", "ascending"), ("icao", "ascending")])
-        return packed_by_bytes(list(zip(*(rows.column(c).to_pylist() for c in rows.column_names))), self.most) or [Files([])]
+        return chosen
+
+    def partitions(self) -> Sequence[InputPartition]:
+        fs, at = file_system(self.index)
+        chosen, places = self._chosen(), []
+        for fragment in ds.dataset(at, filesystem=fs, format="parquet").get_fragments():
+            for group in fragment.split_by_row_group():
+                cost = group.to_table(filter=chosen, columns=["bytes"]).column(0).to_numpy() + OPEN_BYTES
+                if len(cost):
+                    run = (np.cumsum(cost) - cost) // self.most
+                    first = np.r_[0, np.flatnonzero(np.diff(run)) + 1]
+                    places += [(fragment.path, group.row_groups[0].id, int(a), int(b), int(n) - OPEN_BYTES)
+                               for a, b, n in zip(first, np.r_[first[1:], len(cost)], np.add.reduceat(cost, first))]
+        return packed_by_bytes(places, self.most) or [Files([])]
+
+    def _files(self, partition: Files) -> Iterator[tuple]:
+        fs, _ = file_system(self.index)
+        for at, group, start, stop, _ in partition.files:
+            fragment = ds.ParquetFileFormat().make_fragment(at, filesystem=fs, row_groups=[group])
+            rows = fragment.to_table(filter=self._chosen(), columns=["path", "day", "prefix", "icao"]).slice(start, stop - start)
+            yield from zip(*(rows.column(c).to_pylist() for c in rows.column_names))
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(_NAMES)
@@ -203,7 +223,7 @@ class ArchiveReader(DataSourceReader):
             rows.clear()
             return out
 
-        for path, day, prefix, icao, _ in partition.files:
+        for path, day, prefix, icao in self._files(partition):
             fs, at = file_system(path)
             with fs.open_input_stream(at, compression=None) as f:
                 data = f.read()

@@ -89,3 +89,17 @@ def test_rejects_and_columns(spark, tmp_path):
     per_file = {os.path.basename(r.path): r.rejected for r in archive.rejects_per_file(rejects).collect()}
     assert per_file == {"trace_full_ok.json": 5, "trace_full_cut.json": 1, "trace_full_list.json": 1, "trace_full_noname.json": 1, "trace_full_gz.json": 1}
     assert {r.fault for r in rejects.collect()} == {reports.UNREADABLE, reports.INCOMPLETE}
+
+
+def test_plan_holds_places_and_few_tasks(spark, tmp_path):
+    """3000 small files: a plan of few tasks that names no file; filters leave the same rows in plan and tasks."""
+    docs = spark.range(3000).selectExpr("lower(hex(id + 4096)) AS icao", "date_add(DATE'2024-08-01', CAST(id % 3 AS INT)) AS day",
+                                        "concat('{\"icao\":\"', id, '\",\"timestamp\":5,\"trace\":[]}') AS text", "false AS packed")
+    index = archive.write_archive(docs, str(tmp_path / "files"), str(tmp_path / "index"))
+    reader = archive.ArchiveReader({"index": index})
+    plan = reader.partitions()
+    assert len(plan) <= 8 and "trace_full" not in str([p.files for p in plan])
+    assert sum(b - a for p in plan for _, _, a, b, _ in p.files) == 3000
+    parts = archive.read_parts(spark, index, 1 << 20)
+    assert parts.count() == 3000 == parts.select("path").distinct().count()
+    assert parts.where(F.col("prefix") == "a1").count() == docs.where(F.col("icao").endswith("a1")).count() > 0
