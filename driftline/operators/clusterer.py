@@ -15,43 +15,57 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.functions.vectors import distances, stack
+from driftline.functions.vectors import distances
 from driftline.operators import density
-from driftline.operators.neighbours import SLICE, BlockIndex, exact_distance
+from driftline.operators.neighbours import SLACK, BlockIndex, exact_distance
 from driftline.session import materialise
 
 
-
 def _meet(k: int):
-    """Per query and block: the distances of its ``k`` nearest rows with their copies, and the best training vector."""
-    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out = {"n": [], "near": [], "best": []}
-        if not (q.empty or p.empty):
-            p_n, p_m, p_core, p_node = (p[c].to_numpy() for c in ("p_n", "p_m", "p_core", "p_node"))
-            p_v, q_v = stack(p["p_v"]), stack(q["v"])
-            for i in range(0, len(q), SLICE):
-                d = distances(q_v[i:i + SLICE], p_v)
-                take = min(k + 4, d.shape[1])
-                nearest = np.argpartition(d, take - 1, axis=1)[:, :take]
-                reach = np.maximum(d, p_core[None, :])
-                for row in range(len(d)):
-                    v = q_v[i + row]
-                    e = exact_distance(v, p_v[nearest[row]])
-                    o = np.argsort(e, kind="stable")[:k]
-                    hopeful = np.flatnonzero((reach[row] <= reach[row].min() + 1e-7) | (d[row] <= 1e-7))
-                    x = exact_distance(v, p_v[hopeful])
-                    g = np.maximum(x, p_core[hopeful])
-                    b = np.lexsort((p_n[hopeful], g, x > 0))[0]
-                    j = hopeful[b]
-                    out["n"].append(q["n"].iloc[i + row])
-                    out["near"].append([{"d": float(e[t]), "m": int(p_m[nearest[row][t]])} for t in o])
-                    out["best"].append({"other": bool(x[b] > 0), "g": float(g[b]), "n": int(p_n[j]), "node": int(p_node[j]), "core": float(p_core[j])})
-        return pd.DataFrame(out)
-    return run
+    """Kernel: per query the distances of its ``k`` nearest rows with their copies, and the best training vector. A query that
+    equals a training vector is settled when it meets that one."""
+    def start(q: dict, p: dict):
+        size, limit = len(q["n"]), np.array(q["bound"], dtype=np.float64)
+        d_of, m_of = np.full((size, k), np.inf), np.zeros((size, k), dtype=np.int64)
+        best: dict[int, tuple] = {}
+        light = np.full(size, np.inf)
+
+        def compare(at: np.ndarray, rows: np.ndarray) -> None:
+            n, m, core, node, v = (p[x][rows] for x in ("n", "m", "core", "node", "v"))
+            d = distances(q["v"][at], v)
+            reach = np.maximum(d, core[None, :])
+            near, soon = d.min(axis=1), reach.min(axis=1)
+            for i in np.flatnonzero((near <= np.minimum(limit[at], d_of[at, -1]) + SLACK) | (soon <= np.minimum(limit[at], light[at]) + SLACK)):
+                a = at[i]
+                c = np.flatnonzero(d[i] <= d_of[a, -1] + SLACK)
+                if len(c) > k:
+                    c = c[d[i, c] <= np.partition(d[i, c], k - 1)[k - 1] + 2 * SLACK]
+                e, copies = np.r_[d_of[a], exact_distance(q["v"][a], v[c])], np.r_[m_of[a], m[c]]
+                o = np.argsort(e, kind="stable")[:k]
+                d_of[a], m_of[a] = e[o], copies[o]
+                h = np.flatnonzero((reach[i] <= soon[i] + SLACK) | (d[i] <= SLACK))
+                x = exact_distance(q["v"][a], v[h])
+                g = np.maximum(x, core[h])
+                b = np.lexsort((n[h], g, x > 0))[0]
+                mine = (bool(x[b] > 0), float(g[b]), int(n[h[b]]), int(node[h[b]]), float(core[h[b]]))
+                best[a] = min(best[a], mine) if a in best else mine
+                light[a] = best[a][1]
+                limit[a] = min(limit[a], max(d_of[a, -1], light[a])) if best[a][0] else -1.0
+
+        def result() -> pa.Table:
+            at = np.array(sorted(best), dtype=np.int64)
+            there = np.isfinite(d_of[at])
+            near = pa.StructArray.from_arrays([pa.array(d_of[at][there]), pa.array(m_of[at][there])], names=["d", "m"])
+            ends = np.r_[0, np.cumsum(there.sum(axis=1))].astype(np.int32)
+            kinds = (pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
+            found = pa.StructArray.from_arrays([pa.array([best[a][j] for a in at], t) for j, t in enumerate(kinds)], names=["other", "g", "n", "node", "core"])
+            return pa.table({"n": pa.array(q["n"][at], pa.int64()), "near": pa.ListArray.from_arrays(pa.array(ends), near), "best": found})
+        return (lambda at: limit[at]), compare, result
+    return start
 
 
 FOUND = "n long, near array<struct<d:double,m:bigint>>, best struct<other:boolean,g:double,n:bigint,node:bigint,core:double>"
@@ -89,26 +103,34 @@ class Clusterer:
     def entries(self, queries: DataFrame, block_rows: int = 2048) -> DataFrame:
         """(n, node, reach): through which node, and at which distance, each query (n, v) enters the hierarchy.
 
-        The block that may lie nearest gives first bounds; others are searched only where they may hold one of the nearest
-        rows or a training vector that is reached sooner.
+        The cell with the nearest pivot gives first bounds, and it holds the training vector that a query equals. What is left
+        open is searched in all blocks that may hold one of the nearest rows or a training vector that is reached sooner.
         """
         k = self.min_samples
         count = self.vertices.count()
         index = BlockIndex.build(self.vertices.select("n", "m", "v"), count, block_rows)
         points = materialise(index.points.join(self.vertices.select("n", "core", "node"), "n").select("n", "m", "v", "block", "core", "node"))
-        first = index.search(index.targets(queries.withColumn("bound", F.lit(float("inf"))), nearest_only=True), points, _meet(k), FOUND)
+        first = index.search(index.targets(queries.withColumn("bound", F.lit(float("inf"))), nearest_only=True), points, _meet(k), FOUND,
+                             lambda found: self._joined(found, k))  # a cell may lie in two groups
         rows = F.aggregate("near", F.lit(0).cast("long"), lambda a, x: a + x["m"])
         far = F.when(rows >= k, F.greatest(F.element_at("near", -1)["d"], F.col("best.g"))).otherwise(F.lit(float("inf")))
-        first = materialise(first.withColumn("bound", far))
-        seen = materialise(queries.join(first.select("n", "bound"), "n"))
-        # the first block is searched once more with the others: it is one of few
-        found = index.search(index.targets(seen), points, _meet(k), FOUND)
-        all_near = F.array_sort(F.flatten(F.collect_list("near")))
-        per = found.groupBy("n").agg(all_near.alias("near"), F.min(F.struct("best.other", "best.g", "best.n", "best.node", "best.core")).alias("best"))
+        first = first.withColumn("bound", far)
+        equal = first.where(~F.col("best.other")).select("n", F.col("best.node").alias("node"), F.greatest("best.core", "best.g").alias("reach"))
+        seen = materialise(queries.join(first.where("best.other").select("n", "bound"), "n"))
+        # the first cell is searched once more with the others: it is one of many
+        found = index.search(index.targets(seen), points, _meet(k), FOUND, lambda found: self._joined(found, k))
+        if found is None:
+            return equal
         own = F.aggregate("near", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("core")), lambda a, x: F.struct(
             (a["seen"] + x["m"]).alias("seen"), F.when(a["seen"] < k, x["d"]).otherwise(a["core"]).alias("core")), lambda a: a["core"])
         core = F.when(F.col("best.other"), own).otherwise(F.col("best.core"))
-        return per.select("n", F.col("best.node").alias("node"), F.greatest(core, F.col("best.g")).alias("reach"))
+        return equal.unionByName(found.select("n", F.col("best.node").alias("node"), F.greatest(core, F.col("best.g")).alias("reach")))
+
+    @staticmethod
+    def _joined(found: DataFrame, k: int) -> DataFrame:
+        """(n, near, best) of each query over all groups it was sent to."""
+        return found.groupBy("n").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"),
+                                      F.min(F.struct("best.other", "best.g", "best.n", "best.node", "best.core")).alias("best"))
 
     def climb(self, entered: DataFrame) -> DataFrame:
         """(n, node, reach) with the node that holds ``reach``, by doubling steps: births grow upwards, so a stretch of nodes

@@ -15,13 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.vectors import distances, stack
-from driftline.operators.neighbours import SLICE, BlockIndex, exact_distance, nearest_neighbours
+from driftline.functions.vectors import distances
+from driftline.operators.neighbours import SLACK, BlockIndex, exact_distance, nearest_neighbours
 from driftline.operators.ordering import dense_index
-from driftline.session import broadcast_if_small, materialise
+from driftline.session import broadcast_if_small, discard, materialise
 
 IN_TASK_COMPONENTS = 1_000_000
 LEAST_DISTANCE = 1e-12  # stands for 0 where 1 / distance is needed
@@ -94,28 +95,40 @@ def _lightest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("c").agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select("c", "e.*")
 
 
-def _foreign_edge(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-    """Per query the lightest edge to another component inside one block."""
-    out = {"c": [], "w": [], "lo": [], "hi": []}
-    if not (q.empty or p.empty):
-        p_n, p_c, p_core, p_v = (p[x].to_numpy() for x in ("p_n", "p_c", "p_core", "p_v"))
-        p_v = np.stack(p_v).astype(np.float64)
-        q_v = stack(q["v"])
-        for i in range(0, len(q), SLICE):
-            part = q.iloc[i:i + SLICE]
-            reach = np.maximum(distances(q_v[i:i + SLICE], p_v), p_core[None, :])
-            reach = np.maximum(reach, part["core"].to_numpy()[:, None])
-            reach[part["c"].to_numpy()[:, None] == p_c[None, :]] = np.inf
-            least = reach.min(axis=1)
-            for row in np.flatnonzero(np.isfinite(least)):
-                j = np.flatnonzero(reach[row] <= least[row] + 1e-7)
-                n = int(part["n"].iloc[row])
-                w = np.maximum(np.maximum(exact_distance(q_v[i + row], p_v[j]), p_core[j]), part["core"].iloc[row])
-                lo, hi = np.minimum(p_n[j], n), np.maximum(p_n[j], n)
-                b = np.lexsort((hi, lo, w))[0]
-                for k, x in zip(("c", "w", "lo", "hi"), (part["c"].iloc[row], w[b], lo[b], hi[b])):
-                    out[k].append(x)
-    return pd.DataFrame(out)
+def _foreign_edge(q: dict, p: dict):
+    """Kernel: per component of the queries its lightest edge to another component, within the component's bound."""
+    comps, own = np.unique(q["c"], return_inverse=True)
+    limit = np.full(len(comps), np.inf)
+    np.minimum.at(limit, own, q["bound"])
+    best: dict[int, tuple] = {}
+
+    def bound(at: np.ndarray) -> np.ndarray:
+        most = limit[own[at]]
+        return np.where(q["core"][at] <= most, most, -1.0)  # an edge is no lighter than the core distance
+
+    def compare(at: np.ndarray, rows: np.ndarray) -> None:
+        n, c, core, v = (p[x][rows] for x in ("n", "c", "core", "v"))
+        reach = np.maximum(distances(q["v"][at], v), core[None, :])
+        reach = np.maximum(reach, q["core"][at, None])
+        reach[q["c"][at, None] == c[None, :]] = np.inf
+        least = reach.min(axis=1)
+        here, which = np.unique(own[at], return_inverse=True)
+        most = limit[here]
+        np.minimum.at(most, which, least)
+        for i in np.flatnonzero(np.isfinite(least) & (least <= most[which] + 2 * SLACK)):
+            a, k = at[i], int(own[at[i]])
+            j = np.flatnonzero(reach[i] <= least[i] + SLACK)
+            w = np.maximum(np.maximum(exact_distance(q["v"][a], v[j]), core[j]), q["core"][a])
+            lo, hi = np.minimum(n[j], q["n"][a]), np.maximum(n[j], q["n"][a])
+            b = np.lexsort((hi, lo, w))[0]
+            best[k] = min(best.get(k, (np.inf,)), (float(w[b]), int(lo[b]), int(hi[b])))
+            limit[k] = min(limit[k], best[k][0])
+
+    def result() -> pa.Table:
+        edges = [best[k] for k in best]
+        kinds = (pa.float64(), pa.int64(), pa.int64())
+        return pa.table({"c": pa.array(comps[list(best)], pa.int64()), **{x: pa.array([e[i] for e in edges], t) for i, (x, t) in enumerate(zip(("w", "lo", "hi"), kinds))}})
+    return bound, compare, result
 
 
 def _search_open(index: BlockIndex, comp: DataFrame, facts: DataFrame, best: DataFrame, n_comp: int) -> DataFrame:
@@ -132,14 +145,13 @@ def _search_open(index: BlockIndex, comp: DataFrame, facts: DataFrame, best: Dat
     owner = np.full(len(index.cell), -1)
     for r in pts.groupBy("block").agg(F.min("c").alias("a"), F.max("c").alias("b")).collect():  # one row per block
         owner[r["block"]] = r["a"] if r["a"] == r["b"] else -1
-    foreign = lambda pdf: pdf["c"].to_numpy()[:, None] != owner[None, :]
+    foreign = lambda q, blocks: q["c"][:, None] != owner[blocks]
     queries = open_pts.join(pts.select("n", "v"), "n")
     points = pts.select("n", "v", "block", "c", "core")
     schema = "c long, w double, lo long, hi long"
 
     def run(q: DataFrame, nearest_only: bool) -> DataFrame | None:
-        found = index.search(index.targets(q, foreign, nearest_only), points, _foreign_edge, schema)
-        return found if found is None else materialise(_lightest(found))
+        return index.search(index.targets(q, foreign, nearest_only), points, _foreign_edge, schema, _lightest, foreign)
 
     unbounded = queries.filter(F.col("bound") == float("inf"))
     if not unbounded.isEmpty():
@@ -152,7 +164,11 @@ def _search_open(index: BlockIndex, comp: DataFrame, facts: DataFrame, best: Dat
                        .withColumn("bound", F.least("bound", F.coalesce("known", F.lit(float("inf"))))).drop("known"))
     # a point whose own reach exceeds the bound cannot improve it
     more = run(queries.filter(F.col("core") <= F.col("bound")), False)
-    return best if more is None else materialise(_lightest(best.unionByName(more)))
+    if more is not None:
+        best = materialise(_lightest(best.unionByName(more)))
+        discard(more)
+    discard(open_pts, pts)
+    return best
 
 
 def spanning_tree(index: BlockIndex, count: int, min_samples: int, neighbours: int) -> tuple[DataFrame, DataFrame]:
@@ -163,21 +179,22 @@ def spanning_tree(index: BlockIndex, count: int, min_samples: int, neighbours: i
     full = F.size("near") == k
     facts = known.select("n", "core", F.when(
         full, F.greatest(F.col("core"), F.element_at("near", -1)["d"])).otherwise(F.lit(float("inf"))).alias("r"))
-    listed = known.select(F.col("n").alias("a"), F.col("core").alias("core_a"), F.inline("near")).withColumnRenamed("n", "b")
+    near = known.select(F.col("n").alias("a"), F.col("core").alias("core_a"), F.inline("near")).withColumnRenamed("n", "b")
     core_b = known.select(F.col("n").alias("b"), F.col("core").alias("core_b"))
-    edges = materialise(listed.join(core_b, "b").select(
+    edges = materialise(near.join(core_b, "b").select(
         F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"),
         F.greatest("core_a", "core_b", "d").alias("w")).distinct())
     comp = known.select("n", F.col("n").alias("c"))
     n_comp, tree = count, None
     while n_comp > 1:
+        old = edges, comp
         at = lambda end, c: comp.select(F.col("n").alias(end), F.col("c").alias(c))
         edges = materialise(edges.select("lo", "hi", "w").join(at("lo", "c1"), "lo").join(at("hi", "c2"), "hi")
                             .filter(F.col("c1") != F.col("c2")))
         both = edges.select("w", "lo", "hi", F.explode(F.array("c1", "c2")).alias("c"))
-        best = materialise(_lightest(both))
-        best = _search_open(index, comp, facts, best, n_comp)
-        best = materialise(best.join(at("lo", "c1"), "lo").join(at("hi", "c2"), "hi"))
+        listed = materialise(_lightest(both))
+        searched = _search_open(index, comp, facts, listed, n_comp)
+        best = materialise(searched.join(at("lo", "c1"), "lo").join(at("hi", "c2"), "hi"))
         if n_comp <= IN_TASK_COMPONENTS:
             merged = best.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(
                 _merge_in_task, "kind int, a long, b long, w double")
@@ -189,6 +206,7 @@ def spanning_tree(index: BlockIndex, count: int, min_samples: int, neighbours: i
         tree = kept if tree is None else tree.unionByName(kept)
         comp = materialise(comp.join(broadcast_if_small(roots, n_comp, 24), "c").select("n", F.col("root").alias("c")))
         n_comp = roots.select("root").distinct().count()
+        discard(*old, listed, searched, best)
     if tree is None:
         tree = edges.select("lo", "hi", "w").limit(0)
     return tree, known.select("n", "m", "core")
@@ -280,12 +298,16 @@ def _condense(tree: DataFrame, vertices: DataFrame, count: int, min_size: int,
         done = materialise(rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_condense_band(min_size, band), out))
         moves = done.filter("kind = 0").select("rep", "to", F.col("cluster").alias("fell"))
         moves = broadcast_if_small(moves, 2 * band_edges, 24)
+        before = where
         where = materialise(where.join(moves, "rep", "left").select(
             "n", F.coalesce("to", "rep").alias("rep"),
             F.when(F.col("cluster") >= 0, F.col("cluster")).otherwise(F.coalesce("fell", F.lit(-1))).alias("cluster")))
         fresh = done.filter("kind = 1").select("rep", "size", "cluster", "mass", "best")
         if bands > 1:
+            left = state
             state = materialise(state.join(touched, "rep", "left_anti").unionByName(fresh))
+            discard(left)
+        discard(before)
         closed = done.filter("kind = 2").select(
             "cluster", F.col("to").alias("parent"), F.col("w").alias("birth"), "chosen")
         ended = closed if ended is None else ended.unionByName(closed)

@@ -3,38 +3,60 @@
 Vectors are placed with their nearest pivot, and crowded cells are split at random, so a block never exceeds the row
 limit however many vectors lie close together. A block is searched for a query only if the triangle inequality allows
 it to hold something closer than the query's current bound.
+
+Blocks are sent in groups: a query goes once to each group that holds a block it needs, and the task picks the blocks anew
+by the bound as it shrinks. Of a group only what a query has found in all of it leaves the task. So what moves grows with
+queries times groups, which are as large as memory allows, and not with queries times blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.vectors import distances, stack
-from driftline.session import materialise
+from driftline.session import discard, materialise
 
 MAX_PIVOTS = 1024
-SLICE = 256  # query rows compared with all blocks at once inside a task
+SLICE = 256  # query rows compared with a block at once inside a task
+GROUP_NUMBERS = 1 << 23  # components held in a group of blocks or a share of queries
+SLACK = 1e-7  # distances in the product form are off by less
+
+
+def arrays(table: pa.Table) -> dict[str, np.ndarray]:
+    """Columns as arrays; a column of vectors of one length as a matrix, without a copy of each vector."""
+    out = {}
+    for name, col in zip(table.column_names, table.columns):
+        col = col.combine_chunks()
+        if pa.types.is_list(col.type):
+            out[name] = col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1 if len(col) else 0)
+        else:
+            out[name] = col.to_numpy(zero_copy_only=False)
+    return out
 
 
 @dataclass
 class BlockIndex:
-    """``points`` (n, m, v, cell, block) on Spark; pivots and one entry per block on the driver."""
+    """``points`` (n, m, v, cell, block) on Spark; pivots and one entry per block on the driver: its cell, its radius and
+    the group that it is sent with. A group has about ``group_rows`` rows."""
 
     points: DataFrame
     pivots: Broadcast
     cell: np.ndarray
     radius: np.ndarray
-    block_rows: int
+    group: np.ndarray
+    group_rows: int
 
     @classmethod
-    def build(cls, pts: DataFrame, count: int, block_rows: int) -> BlockIndex:
+    def build(cls, pts: DataFrame, count: int, block_rows: int, group_rows: int | None = None) -> BlockIndex:
         spark = pts.sparkSession
         k = max(1, min(MAX_PIVOTS, -(-count // block_rows)))
         picked = pts.orderBy(F.xxhash64("n"), "n").limit(k).select("v").collect()  # at most MAX_PIVOTS vectors
@@ -52,52 +74,92 @@ class BlockIndex:
         first = np.concatenate([[0], np.cumsum(parts)[:-1]]).astype(int).tolist()
         block = F.get(F.lit(first), "cell") + F.pmod(F.xxhash64("n"), F.get(F.lit(parts), "cell"))
         points = materialise(placed.withColumn("block", block.cast("int")))
-        radius = np.full(sum(parts), -np.inf)
-        for r in points.groupBy("block").agg(F.max("r").alias("r")).collect():  # one row per block
-            radius[r["block"]] = r["r"]
-        return cls(points.drop("r"), pivots, np.repeat(np.arange(k), parts), radius, block_rows)
+        discard(placed)
+        radius, rows = np.full(sum(parts), -np.inf), np.zeros(sum(parts), dtype=np.int64)
+        for r in points.groupBy("block").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("c")).collect():  # one row per block
+            radius[r["block"]], rows[r["block"]] = r["r"], r["c"]
+        if group_rows is None:
+            # as many groups and shares of queries as give each core two pairs of them, more where memory asks for it
+            side = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
+            dim = max(1, len(picked[0]["v"])) if picked else 1
+            group_rows = max(block_rows, min(-(-count // side), GROUP_NUMBERS // dim))
+        group = (np.cumsum(rows) - rows) // group_rows
+        return cls(points.drop("r"), pivots, np.repeat(np.arange(k), parts), radius, group, group_rows)
 
     def targets(self, queries: DataFrame, allowed: Callable | None = None, nearest_only: bool = False) -> DataFrame:
-        """Append ``targets``: the blocks to search for each query (n, v, bound, ..).
+        """Append ``targets``, the groups to search for each query (n, v, bound, ..), and ``only``, the one cell to search there
+        or -1 for all.
 
-        ``allowed(pdf, hits)`` may clear further entries of the query x block matrix. ``nearest_only`` keeps the
-        block with the least possible distance.
+        ``allowed(columns, blocks)`` may clear further entries of the query x block matrix. ``nearest_only`` keeps the
+        blocks of the cell with the nearest pivot.
         """
-        pivots, cell, radius = self.pivots, self.cell, self.radius
+        pivots, cell, radius, group = self.pivots, self.cell, self.radius, self.group
+        blocks = np.arange(len(cell))
 
         def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for whole in batches:
                 for i in range(0, len(whole), SLICE):
                     pdf = whole.iloc[i:i + SLICE]
-                    near = np.maximum(distances(stack(pdf["v"]), pivots.value)[:, cell] - radius - 1e-7, 0.0)
+                    far = distances(stack(pdf["v"]), pivots.value)[:, cell]
+                    near = np.maximum(far - radius - SLACK, 0.0)
                     hits = (near <= pdf["bound"].to_numpy()[:, None]) & np.isfinite(radius)
                     if allowed is not None:
-                        hits &= allowed(pdf)
+                        hits &= allowed({c: pdf[c].to_numpy() for c in pdf.columns if c != "v"}, blocks)
+                    only = np.full(len(pdf), -1)
                     if nearest_only:
-                        best = np.where(hits, near, np.inf).argmin(axis=1)
-                        hits &= best[:, None] == np.arange(len(cell))
-                    yield pdf.assign(targets=[np.flatnonzero(h).astype(np.int32) for h in hits])
+                        only = cell[np.where(hits, far, np.inf).argmin(axis=1)]
+                        hits &= only[:, None] == cell
+                    yield pdf.assign(targets=[np.unique(group[h]).astype(np.int32) for h in hits], only=only.astype(np.int32))
 
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema)
-        return queries.mapInPandas(choose, f"{schema}, targets array<int>")
+        return queries.mapInPandas(choose, f"{schema}, targets array<int>, only int")
 
-    def search(self, queries: DataFrame, points: DataFrame, run: Callable, schema: str) -> DataFrame | None:
-        """Apply ``run(queries, points)`` to every (block, share of its queries). None when no block is wanted.
+    def search(self, queries: DataFrame, points: DataFrame, kernel: Callable, schema: str, reduce: Callable, allowed: Callable | None = None) -> DataFrame | None:
+        """Compare every query with the blocks of its groups that its bound and ``allowed`` leave, and write down ``reduce`` of
+        what the groups give. None when no block is wanted.
 
-        A block with many queries serves them in shares of bounded size, so no group grows with the data.
+        ``kernel(queries, points)`` has the columns of a share of queries and of a group as arrays and gives three functions:
+        the present bounds of some queries, the comparison of some queries with the points of a block, and the result.
+        A group with many queries serves them in shares of bounded size, so no task grows with the data.
         """
         queries = materialise(queries)
-        wanted = {r["block"]: r["c"] for r in queries.select(F.explode("targets").alias("block"))
-                  .groupBy("block").agg(F.count(F.lit(1)).alias("c")).collect()}  # one row per block
+        wanted = {r["g"]: r["c"] for r in queries.select(F.explode("targets").alias("g"))
+                  .groupBy("g").agg(F.count(F.lit(1)).alias("c")).collect()}  # one row per group
         if not wanted:
             return None
-        shares = F.lit([-(-wanted.get(b, 0) // self.block_rows) for b in range(len(self.cell))])
-        left = queries.withColumn("block", F.explode("targets")).drop("targets")
-        left = left.withColumn("share", F.pmod(F.xxhash64("n"), F.get(shares, F.col("block"))).cast("int"))
-        right = points.filter(F.get(shares, F.col("block")) > 0).withColumn(
-            "share", F.explode(F.sequence(F.lit(0), F.get(shares, F.col("block")) - 1)))
+        pivots, cell, radius, group = self.pivots, self.cell, self.radius, self.group
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            q, p = arrays(left), {c[2:]: x for c, x in arrays(right).items()}
+            bound, compare, result = kernel(q, p)
+            if len(q["n"]) and len(p["n"]):
+                order = np.argsort(p["block"], kind="stable")
+                blocks, start = np.unique(p["block"][order], return_index=True)
+                rows = np.split(order, start[1:])
+                of_cell = cell[blocks]
+                for i in range(0, len(q["n"]), SLICE):
+                    at = np.arange(i, min(i + SLICE, len(q["n"])))
+                    near = np.maximum(distances(q["v"][at], pivots.value[of_cell]) - radius[blocks] - SLACK, 0.0)
+                    use = (q["only"][at, None] < 0) | (q["only"][at, None] == of_cell)
+                    if allowed is not None:
+                        use &= allowed({c: x[at] for c, x in q.items() if c != "v"}, blocks)
+                    for b in np.argsort(near.mean(axis=0), kind="stable"):
+                        hit = use[:, b] & (near[:, b] <= bound(at))
+                        if hit.any():
+                            compare(at[hit], rows[b])
+            return result()
+
+        count = max(int(group.max()) + 1, 1)
+        shares = F.lit([-(-wanted.get(g, 0) // self.group_rows) for g in range(count)])
+        left = queries.withColumn("group", F.explode("targets")).drop("targets")
+        left = left.withColumn("share", F.pmod(F.xxhash64("n"), F.get(shares, F.col("group"))).cast("int"))
+        own = points.withColumn("group", F.get(F.lit([int(g) for g in group]), F.col("block")))
+        right = own.filter(F.get(shares, F.col("group")) > 0).withColumn(
+            "share", F.explode(F.sequence(F.lit(0), F.get(shares, F.col("group")) - 1)))
         right = right.toDF(*[f"p_{c}" for c in right.columns])
-        return left.groupBy("block", "share").cogroup(right.groupBy("p_block", "p_share")).applyInPandas(run, schema)
+        found = materialise(reduce(left.groupBy("group", "share").cogroup(right.groupBy("p_group", "p_share")).applyInArrow(run, schema)))
+        discard(queries)
+        return found
 
 
 def exact_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,6 +186,37 @@ def _nearest(q_n: np.ndarray, q_v: np.ndarray, p_n: np.ndarray, p_m: np.ndarray,
     return out
 
 
+def _nearer(k: int):
+    """Kernel: per query the ``k`` nearest points within its bound, other than itself."""
+    def start(q: dict, p: dict):
+        size, limit = len(q["n"]), np.array(q["bound"], dtype=np.float64)
+        d_of, n_of, m_of = np.full((size, k), np.inf), np.full((size, k), -1), np.zeros((size, k), dtype=np.int64)
+
+        def compare(at: np.ndarray, rows: np.ndarray) -> None:
+            n, m, v = p["n"][rows], p["m"][rows], p["v"][rows]
+            d = distances(q["v"][at], v)
+            d[q["n"][at, None] == n[None, :]] = np.inf
+            for i in np.flatnonzero(d.min(axis=1) <= limit[at] + SLACK):
+                a = at[i]
+                c = np.flatnonzero((d[i] <= limit[a] + SLACK) & np.isfinite(d[i]))
+                if len(c) > k:
+                    c = c[d[i, c] <= np.partition(d[i, c], k - 1)[k - 1] + 2 * SLACK]
+                e = np.r_[d_of[a], exact_distance(q["v"][a], v[c])]
+                all_n, all_m = np.r_[n_of[a], n[c]], np.r_[m_of[a], m[c]]
+                o = np.lexsort((all_n, e))[:k]
+                d_of[a], n_of[a], m_of[a] = e[o], all_n[o], all_m[o]
+                limit[a] = min(limit[a], d_of[a, -1])
+
+        def result() -> pa.Table:
+            there = np.isfinite(d_of)
+            some = there.any(axis=1)
+            near = pa.StructArray.from_arrays([pa.array(x[there]) for x in (d_of, n_of, m_of)], names=["d", "n", "m"])
+            ends = np.r_[0, np.cumsum(there[some].sum(axis=1))].astype(np.int32)
+            return pa.table({"n": pa.array(q["n"][some], pa.int64()), "m": pa.array(q["m"][some], pa.int64()), "near": pa.ListArray.from_arrays(pa.array(ends), near)})
+        return (lambda at: limit[at]), compare, result
+    return start
+
+
 def nearest_neighbours(index: BlockIndex, k: int) -> DataFrame:
     """(n, m, near) with the exact k nearest other points of every point.
 
@@ -135,24 +228,19 @@ def nearest_neighbours(index: BlockIndex, k: int) -> DataFrame:
         bound = [x[k - 1]["d"] if len(x) == k else np.inf for x in near]
         return pdf[["n", "m", "v", "block"]].assign(near=near, bound=bound)
 
-    def other(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or p.empty:
-            return pd.DataFrame({"n": [], "m": [], "near": []})
-        near = _nearest(q["n"].to_numpy(), stack(q["v"]), p["p_n"].to_numpy(), p["p_m"].to_numpy(),
-                        stack(p["p_v"]), k)
-        return q[["n", "m"]].assign(near=near)
-
     first = materialise(index.points.groupBy("block").applyInPandas(
         own, f"n long, m long, v array<double>, block int, near {NEIGHBOUR}, bound double"))
     blocks = len(index.cell)
     if blocks == 1:
         return first.select("n", "m", "near")
-    foreign = lambda pdf: pdf["block"].to_numpy()[:, None] != np.arange(blocks)
-    queries = index.targets(first.select("n", "m", "v", F.col("block").alias("block"), "bound"), foreign).drop("block")
-    more = index.search(queries, index.points.select("n", "m", "v", "block"), other, f"n long, m long, near {NEIGHBOUR}")
-    found = first.select("n", "m", "near")
-    if more is not None:
-        found = found.unionByName(more)
-    # per point at most k entries from each block searched
-    return found.groupBy("n", "m").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    foreign = lambda q, blocks: q["block"][:, None] != blocks
+    queries = index.targets(first.select("n", "m", "v", "block", "bound"), foreign)
+    # per point at most k entries from each group searched
+    best = lambda more: (first.select("n", "m", "near").unionByName(more).groupBy("n", "m")
+                         .agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near")))
+    points = index.points.select("n", "m", "v", "block")
+    found = index.search(queries, points, _nearer(k), f"n long, m long, near {NEIGHBOUR}", best, foreign)
+    if found is None:
+        return first.select("n", "m", "near")
+    discard(first)
+    return found

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,7 +96,23 @@ def materialise(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "table")
     df.write.parquet(path)
     _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that a step made and that nothing will read again, not even what it returns."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path is not None:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _scratch[spark.sparkContext.applicationId].remove(path)
 
 
 BROADCAST_BYTES = 64 << 20

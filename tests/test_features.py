@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -276,3 +277,28 @@ def test_kendall_counts_of_range_pairs_are_split_over_groups(spark):
     largest = parts.groupBy("pair", "kind", "g").count().agg(F.max("count")).first()[0]
     assert largest < 1500  # about 2900 pairs of ranges hold rows
     assert math.isclose(correlate.kendall(df, ["x", "y"], 10, 30).first().correlation, plain.kendall(x, y), abs_tol=1e-9)
+
+
+def test_search_sends_a_query_once_per_group_of_blocks(spark):
+    """Fifty blocks in few groups: rows sent follow the groups; tables that no result reads are deleted."""
+    x = np.random.default_rng(15).normal(size=(500, 6))
+    pts = frame(spark, x).selectExpr("id AS n", "1L AS m", "v")
+    index = BlockIndex.build(pts, 500, 10, group_rows=250)
+    assert len(index.cell) >= 50 and index.group.max() <= 2
+    queries = index.targets(pts.selectExpr("n", "v", "double('inf') AS bound")).selectExpr("size(targets) AS k")
+    assert queries.agg(F.max("k")).first()[0] <= 3
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    for r in nearest_neighbours(index, 5).collect():
+        assert [e["n"] for e in r.near] == list(np.argsort(d[r.n])[:5])
+
+
+def test_clustering_deletes_tables_of_past_rounds(spark):
+    from driftline import session
+    x = blobs(np.random.default_rng(1))
+    held = lambda: set(session._scratch.get(spark.sparkContext.applicationId, []))
+    before = held()
+    got = density.hdbscan(frame(spark, x), "id", "v", 15, 4, 0.0, 4, 30).orderBy("id").collect()
+    assert plain.same_partition(plain.hdbscan(x, 15, 4, 0.0), [r.cluster for r in got])
+    made = held() - before
+    assert all(os.path.exists(p.removeprefix("file:")) for p in made) and len(made) < 40, len(made)
