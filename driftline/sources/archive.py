@@ -35,6 +35,7 @@ INDEX = "path string, day date, prefix string, icao string, bytes long"
 PART = "path string, day date, prefix string, icao string, name string, base double, part int, points array<array<string>>, fault string"
 PACKED_BYTES = 64 << 20
 OPEN_BYTES = 1 << 14  # what opening a file costs, in bytes read: tasks of thousands of small files, not of dozens
+BATCH_BYTES = 8 << 20
 PART_POINTS = 1000
 BATCH_POINTS = 4 * PART_POINTS  # handed on together; files without points are a few bytes each
 
@@ -52,14 +53,17 @@ def write_files(rows: DataFrame, path: str) -> DataFrame:
     """Write (name, text, packed) rows as files below ``path``, one a row, from the tasks; ``packed`` ones are gzip content
     whatever the name says. Gives (name, path, bytes) rows; the files are written as these are read.
 
-    A task that runs again writes the same files again: each is written beside its place, then moved there.
+    A task that runs again writes the same files again: each is written beside its place, then moved there. Texts reach a
+    task in batches of few bytes, whatever their length, and one at a time leaves its batch.
     """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = file_system(path)
         made: set[str] = set()
         for batch in batches:
             out = []
-            for name, text, packed in zip(*(batch.column(c).to_pylist() for c in ("name", "text", "packed"))):
+            for name, text, packed in ((x.as_py() for x in row) for row in zip(*(batch.column(c) for c in ("name", "text", "packed")))):
                 folder, _, last = name.rpartition("/")
                 if folder not in made:
                     fs.create_dir(f"{top}/{folder}", recursive=True)

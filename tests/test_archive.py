@@ -103,3 +103,11 @@ def test_plan_holds_places_and_few_tasks(spark, tmp_path):
     parts = archive.read_parts(spark, index, 1 << 20)
     assert parts.count() == 3000 == parts.select("path").distinct().count()
     assert parts.where(F.col("prefix") == "a1").count() == docs.where(F.col("icao").endswith("a1")).count() > 0
+
+
+def test_long_texts_reach_the_writer_in_small_batches(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    docs = spark.range(40, numPartitions=1).selectExpr("concat('d/', id) AS name", "repeat('x', 1000000) AS text", "false AS packed")
+    written = archive.write_files(docs, str(tmp_path))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    assert written.agg(F.sum("bytes")).first()[0] == 40_000_000 and len(os.listdir(tmp_path / "d")) == 40
