@@ -81,3 +81,36 @@ def test_bounds_spare_reading():
     exact = numbers.astype(np.int64) @ anchor
     assert [i for i, _ in H.best(ids, scores, 5)] == [i for i, _ in H.best(np.arange(n), exact, 5)]
     assert (exact[ids] == scores).all() and scan.read < 0.6 * n * dims
+
+
+def test_vectors_are_not_broadcast(spark, monkeypatch):
+    """Copies of anchor groups, one a block, once went to all through the driver, as their size was estimated without the copies."""
+    monkeypatch.setattr(H, "BLOCK_ROWS", 20)
+    plan = H.mine(frame(spark, clustered(300)), F.col("vec_id") % 5 == 0)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    sides = [i for i, line in enumerate(plan) if "numbers" in line and "Generate explode" in line]
+    assert sides
+    for i in sides:
+        above, at = [], depth(plan[i])
+        for line in reversed(plan[:i]):
+            if depth(line) < at:
+                at = depth(line)
+                above.append(line)
+        assert not any("Broadcast" in line and "block" in line for line in above)
+
+
+def test_bounds_by_length():
+    """Vectors of one length whose extremes say little: most dimensions of most rows are not needed, results stay exact."""
+    rng = np.random.default_rng(1)
+    n, dims = 6000, 64
+    numbers = rng.normal(size=(n, dims)) * 0.9 ** rng.permuted(np.tile(np.arange(dims), (n, 1)), axis=1)
+    numbers = np.floor(256 * numbers / np.linalg.norm(numbers, axis=1)[:, None]).astype(np.int32)
+    block = H.Block(np.arange(n).tobytes(), np.zeros(n, np.int64).tobytes(), np.ascontiguousarray(numbers.T).tobytes())
+    exact = numbers.astype(np.int64) @ numbers[:40].T.astype(np.int64)
+    floor = np.sort(exact, axis=0)[-5]
+    scan = H.Scan(block, H.Anchors(numbers[:40]), 0, n)
+    ids, scores = scan.run(lambda low, high: high >= floor[scan.which], floor)
+    assert (exact[ids, scan.which] == scores).all() and scan.read < 0.6 * n * dims * 40
+    for a in range(40):
+        of = scan.which == a
+        assert H.best(ids[of], scores[of], 5) == H.best(np.arange(n), exact[:, a], 5)
