@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.vectors import distances
-from driftline.operators.neighbours import SLACK, BlockIndex, exact_distance, nearest_neighbours
+from driftline.operators.neighbours import SLACK, BlockIndex, Squares, exact_distance, nearest_neighbours
 from driftline.operators.ordering import dense_index
 from driftline.session import broadcast_if_small, discard, materialise
 
@@ -106,21 +105,35 @@ def _foreign_edge(q: dict, p: dict):
         most = limit[own[at]]
         return np.where(q["core"][at] <= most, most, -1.0)  # an edge is no lighter than the core distance
 
+    squares = Squares(q["v"], p["v"])
+
     def compare(at: np.ndarray, rows: np.ndarray) -> None:
-        n, c, core, v = (p[x][rows] for x in ("n", "c", "core", "v"))
-        reach = np.maximum(distances(q["v"][at], v), core[None, :])
-        reach = np.maximum(reach, q["core"][at, None])
-        reach[q["c"][at, None] == c[None, :]] = np.inf
-        least = reach.min(axis=1)
-        here, which = np.unique(own[at], return_inverse=True)
-        most = limit[here]
-        np.minimum.at(most, which, least)
-        for i in np.flatnonzero(np.isfinite(least) & (least <= most[which] + 2 * SLACK)):
-            a, k = at[i], int(own[at[i]])
-            j = np.flatnonzero(reach[i] <= least[i] + SLACK)
-            w = np.maximum(np.maximum(exact_distance(q["v"][a], v[j]), core[j]), q["core"][a])
-            lo, hi = np.minimum(n[j], q["n"][a]), np.maximum(n[j], q["n"][a])
-            b = np.lexsort((hi, lo, w))[0]
+        most, c = limit[own[at]], q["c"][at]
+        one = (c == c[0]).all()
+        rows = rows[(p["core"][rows] <= most.max()) & ((p["c"][rows] != c[0]) | (not one))]
+        if not len(rows):
+            return
+        sq = squares(at, rows)
+        if not one:
+            sq[c[:, None] == p["c"][rows][None, :]] = np.inf
+        found = np.flatnonzero(sq <= squares.most(most, at)[:, None])
+        if len(found) > 2 * len(at):  # what a component's points reach here bounds them all
+            reach = np.maximum(np.maximum(sq + 2 * squares.loss[at, None], (p["core"][rows] ** 2)[None, :]).min(axis=1), q["core"][at] ** 2)
+            here, which = np.unique(own[at], return_inverse=True)
+            least = limit[here]
+            np.minimum.at(least, which, np.sqrt(np.maximum(reach, 0.0)) * (1 + SLACK))
+            found = np.flatnonzero(sq <= squares.most(least[which], at)[:, None])
+        i, j = np.divmod(found, len(rows))
+        of, to = at[i], rows[j]
+        w = np.maximum(np.maximum(exact_distance(q["v"][of], p["v"][to]), p["core"][to]), q["core"][of])
+        ok = (w <= limit[own[of]]) & (q["c"][of] != p["c"][to])
+        if not ok.any():
+            return
+        of, to, w = of[ok], to[ok], w[ok]
+        lo, hi = np.minimum(p["n"][to], q["n"][of]), np.maximum(p["n"][to], q["n"][of])
+        order = np.lexsort((hi, lo, w, own[of]))
+        here, first = np.unique(own[of][order], return_index=True)
+        for k, b in zip(here.tolist(), order[first]):
             best[k] = min(best.get(k, (np.inf,)), (float(w[b]), int(lo[b]), int(hi[b])))
             limit[k] = min(limit[k], best[k][0])
 

@@ -1,17 +1,18 @@
 """Exact neighbour search over blocks of vectors.
 
 Vectors are placed with their nearest pivot, and crowded cells are split at random, so a block never exceeds the row
-limit however many vectors lie close together. A block is searched for a query only if the triangle inequality allows
-it to hold something closer than the query's current bound.
-
-Blocks are sent in groups: a query goes once to each group that holds a block it needs, and the task picks the blocks anew
-by the bound as it shrinks. Of a group only what a query has found in all of it leaves the task. So what moves grows with
-queries times groups, which are as large as memory allows, and not with queries times blocks.
+limit however many vectors lie close together. A block is searched for a query only if the triangle inequality and, in few
+dimensions, the box around it allow it to hold something closer than the query's current bound.
+
+Blocks are sent in groups: a query goes once to each group that holds a block it needs. Pivots are numbered so that those of a
+group lie side by side, and each vector meets its own group first: what it finds there bounds most of the others out. In a
+task, queries that lie close together meet small leaves of the blocks, nearest box first, as long as a box lies within the
+bound of one of them. Of a group only what a query has found in all of it leaves the task. So what moves grows with
+queries times the groups around them, and not with queries times blocks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,12 @@ from driftline.functions.vectors import distances, stack
 from driftline.session import discard, materialise
 
 MAX_PIVOTS = 1024
-SLICE = 256  # query rows compared with a block at once inside a task
+SLICE = 256  # query rows for which blocks are chosen at once
+LEAF = 128  # rows in a box inside a task
+NEAR = 128  # queries that meet boxes together
+MEET_ROWS = 2048  # rows of boxes compared at once
+OUT_ROWS = 8192  # rows of a batch given back
+BOX_DIMS = 16  # in more, boxes of whole blocks say little
 GROUP_NUMBERS = 1 << 23  # components held in a group of blocks or a share of queries
 SLACK = 1e-7  # distances in the product form are off by less
 
@@ -43,10 +49,75 @@ def arrays(table: pa.Table) -> dict[str, np.ndarray]:
     return out
 
 
+def leaves(v: np.ndarray, size: int) -> list[np.ndarray]:
+    """Rows in parts of at most ``size`` that lie close together, neighbours side by side: halves along the widest axis."""
+    out, left = [], [np.arange(len(v))]
+    while left:
+        rows = left.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        axis, half = int(v[rows].std(axis=0).argmax()), len(rows) // 2
+        order = np.argpartition(v[rows, axis], half)
+        left += [rows[order[half:]], rows[order[:half]]]
+    return out
+
+
+def gaps(low: np.ndarray, high: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Distances between boxes [low, high] and [least, most], less than those of any rows in them."""
+    return np.maximum(np.sqrt((np.maximum(np.maximum(low - most, least - high), 0.0) ** 2).sum(axis=-1)) - SLACK, 0.0)
+
+
+def meet(q: dict, p: dict, functions: tuple, pivots: np.ndarray, cell: np.ndarray, radius: np.ndarray, allowed: Callable | None = None) -> pa.Table:
+    """The result of a kernel over queries and points of whole blocks: queries that lie close together meet the leaves that may
+    hold something within the bound of one of them, nearest first."""
+    bound, compare, result = functions
+    if not len(q["n"]) or not len(p["n"]):
+        return result()
+    order = np.argsort(p["block"], kind="stable")
+    blocks, start = np.unique(p["block"][order], return_index=True)
+    parts, of = [], []
+    for b, rows in enumerate(np.split(order, start[1:])):
+        boxes = [rows[x] for x in leaves(p["v"][rows], LEAF)]
+        parts += boxes
+        of += [b] * len(boxes)
+    of = np.array(of)
+    least, most = (np.array([f(p["v"][x]) for x in parts]) for f in (lambda v: v.min(axis=0), lambda v: v.max(axis=0)))
+    of_cell = cell[blocks]
+    for at in leaves(q["v"], NEAR):
+        v = q["v"][at]
+        far = (distances(v, pivots[of_cell]) - radius[blocks] - SLACK).min(axis=0)
+        near = np.maximum(gaps(least, most, v.min(axis=0), v.max(axis=0)), far[of])
+        use = (q["only"][at, None] < 0) | (q["only"][at, None] == of_cell)
+        if allowed is not None:
+            use &= allowed({c: x[at] for c, x in q.items() if c != "v"}, blocks)
+        whole = use.all(axis=0)[of]
+        near[~use.any(axis=0)[of]] = np.inf
+        left = np.argsort(near, kind="stable")
+        i, step = 0, 2
+        while i < len(left):
+            limit = bound(at)
+            some = left[i:i + step]
+            some = some[(near[some] <= limit.max()) & np.isfinite(near[some])]
+            if not len(some):
+                break
+            i, step = i + step, min(2 * step, MEET_ROWS // LEAF)
+            full = some[whole[some]]
+            if len(full):
+                compare(at[near[full].min() <= limit], np.concatenate([parts[j] for j in full]))
+            some = some[~whole[some]]
+            for b in np.unique(of[some]):
+                mine = some[of[some] == b]
+                hit = use[:, b] & (near[mine].min() <= limit)
+                if hit.any():
+                    compare(at[hit], np.concatenate([parts[j] for j in mine]))
+    return result()
+
+
 @dataclass
 class BlockIndex:
-    """``points`` (n, m, v, cell, block) on Spark; pivots and one entry per block on the driver: its cell, its radius and
-    the group that it is sent with. A group has about ``group_rows`` rows."""
+    """``points`` (n, m, v, cell, block) on Spark; pivots and one entry per block on the driver: its cell, its radius, the
+    group that it is sent with and, in few dimensions, its box. A group has about ``group_rows`` rows."""
 
     points: DataFrame
     pivots: Broadcast
@@ -54,13 +125,15 @@ class BlockIndex:
     radius: np.ndarray
     group: np.ndarray
     group_rows: int
+    box: np.ndarray | None = None
 
     @classmethod
     def build(cls, pts: DataFrame, count: int, block_rows: int, group_rows: int | None = None) -> BlockIndex:
         spark = pts.sparkSession
         k = max(1, min(MAX_PIVOTS, -(-count // block_rows)))
         picked = pts.orderBy(F.xxhash64("n"), "n").limit(k).select("v").collect()  # at most MAX_PIVOTS vectors
-        pivots = spark.sparkContext.broadcast(np.array([r["v"] for r in picked], dtype=np.float64))
+        chosen = np.array([r["v"] for r in picked], dtype=np.float64)
+        pivots = spark.sparkContext.broadcast(chosen[np.concatenate(leaves(chosen, 1))] if picked else chosen)
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -76,15 +149,19 @@ class BlockIndex:
         points = materialise(placed.withColumn("block", block.cast("int")))
         discard(placed)
         radius, rows = np.full(sum(parts), -np.inf), np.zeros(sum(parts), dtype=np.int64)
-        for r in points.groupBy("block").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("c")).collect():  # one row per block
+        dim = len(picked[0]["v"]) if picked else 0
+        axes = range(dim if dim <= BOX_DIMS else 0)
+        box = np.full((2, len(rows), len(axes)), np.inf)  # no row lies in an empty block
+        ends = [f(F.get("v", F.lit(i))).alias(f"{x}{i}") for x, f in (("l", F.min), ("h", F.max)) for i in axes]
+        for r in points.groupBy("block").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("c"), *ends).collect():  # one row per block
             radius[r["block"]], rows[r["block"]] = r["r"], r["c"]
+            box[:, r["block"]] = [[r[f"{x}{i}"] for i in axes] for x in "lh"]
         if group_rows is None:
-            # as many groups and shares of queries as give each core two pairs of them, more where memory asks for it
-            side = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
-            dim = max(1, len(picked[0]["v"])) if picked else 1
-            group_rows = max(block_rows, min(-(-count // side), GROUP_NUMBERS // dim))
+            # four groups a core, more where memory asks for it
+            side = 4 * spark.sparkContext.defaultParallelism
+            group_rows = max(block_rows, min(-(-count // side), GROUP_NUMBERS // max(1, dim)))
         group = (np.cumsum(rows) - rows) // group_rows
-        return cls(points.drop("r"), pivots, np.repeat(np.arange(k), parts), radius, group, group_rows)
+        return cls(points.drop("r"), pivots, np.repeat(np.arange(k), parts), radius, group, group_rows, box if len(axes) else None)
 
     def targets(self, queries: DataFrame, allowed: Callable | None = None, nearest_only: bool = False) -> DataFrame:
         """Append ``targets``, the groups to search for each query (n, v, bound, ..), and ``only``, the one cell to search there
@@ -93,15 +170,18 @@ class BlockIndex:
         ``allowed(columns, blocks)`` may clear further entries of the query x block matrix. ``nearest_only`` keeps the
         blocks of the cell with the nearest pivot.
         """
-        pivots, cell, radius, group = self.pivots, self.cell, self.radius, self.group
+        pivots, cell, radius, group, box = self.pivots, self.cell, self.radius, self.group, self.box
         blocks = np.arange(len(cell))
 
         def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for whole in batches:
                 for i in range(0, len(whole), SLICE):
                     pdf = whole.iloc[i:i + SLICE]
-                    far = distances(stack(pdf["v"]), pivots.value)[:, cell]
+                    v = stack(pdf["v"])
+                    far = distances(v, pivots.value)[:, cell]
                     near = np.maximum(far - radius - SLACK, 0.0)
+                    if box is not None:
+                        near = np.maximum(near, gaps(box[0], box[1], v[:, None], v[:, None]))
                     hits = (near <= pdf["bound"].to_numpy()[:, None]) & np.isfinite(radius)
                     if allowed is not None:
                         hits &= allowed({c: pdf[c].to_numpy() for c in pdf.columns if c != "v"}, blocks)
@@ -131,23 +211,7 @@ class BlockIndex:
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             q, p = arrays(left), {c[2:]: x for c, x in arrays(right).items()}
-            bound, compare, result = kernel(q, p)
-            if len(q["n"]) and len(p["n"]):
-                order = np.argsort(p["block"], kind="stable")
-                blocks, start = np.unique(p["block"][order], return_index=True)
-                rows = np.split(order, start[1:])
-                of_cell = cell[blocks]
-                for i in range(0, len(q["n"]), SLICE):
-                    at = np.arange(i, min(i + SLICE, len(q["n"])))
-                    near = np.maximum(distances(q["v"][at], pivots.value[of_cell]) - radius[blocks] - SLACK, 0.0)
-                    use = (q["only"][at, None] < 0) | (q["only"][at, None] == of_cell)
-                    if allowed is not None:
-                        use &= allowed({c: x[at] for c, x in q.items() if c != "v"}, blocks)
-                    for b in np.argsort(near.mean(axis=0), kind="stable"):
-                        hit = use[:, b] & (near[:, b] <= bound(at))
-                        if hit.any():
-                            compare(at[hit], rows[b])
-            return result()
+            return meet(q, p, kernel(q, p), pivots.value, cell, radius, allowed)
 
         count = max(int(group.max()) + 1, 1)
         shares = F.lit([-(-wanted.get(g, 0) // self.group_rows) for g in range(count)])
@@ -167,49 +231,63 @@ def exact_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a - b) ** 2).sum(axis=1))
 
 
-NEIGHBOUR = "array<struct<d:double,n:bigint,m:bigint>>"
+class Squares:
+    """Squares of distances from queries to points, in floats where they can hold them, off by less than ``loss`` of the query: they
+    choose the pairs whose distances are then taken exactly."""
 
+    def __init__(self, q: np.ndarray, p: np.ndarray):
+        centre = p.mean(axis=0) if len(p) else 0.0
+        a, b = q - centre, p - centre
+        aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        kind = np.float32 if 1e-20 < aa.max(initial=0.0) + bb.max(initial=0.0) < 1e30 else np.float64
+        self.loss = (6e-7 * (a.shape[1] + 8) * (aa + bb.max(initial=0.0))).astype(kind)
+        self.left = np.c_[-2.0 * a, aa, np.ones(len(a))].astype(kind)
+        self.right = np.c_[b, np.ones(len(b)), bb].astype(kind)
 
-def _nearest(q_n: np.ndarray, q_v: np.ndarray, p_n: np.ndarray, p_m: np.ndarray, p_v: np.ndarray, k: int) -> list:
-    """Per query its k nearest points other than itself, nearest first, lower number first among equals."""
-    out = []
-    for i in range(0, len(q_n), SLICE):
-        d = distances(q_v[i:i + SLICE], p_v)
-        d[q_n[i:i + SLICE, None] == p_n[None, :]] = np.inf
-        take = min(k + 4, d.shape[1])
-        cols = np.argpartition(d, take - 1, axis=1)[:, :take]
-        for row, c in enumerate(cols):
-            c = c[np.isfinite(d[row, c])]
-            e = exact_distance(q_v[i + row], p_v[c])
-            o = np.lexsort((p_n[c], e))[:k]
-            out.append([{"d": float(e[j]), "n": int(p_n[c[j]]), "m": int(p_m[c[j]])} for j in o])
-    return out
+    def __call__(self, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return self.left[at] @ self.right[rows].T
+
+    def most(self, distance: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What the squares of pairs within ``distance`` do not exceed."""
+        return (distance ** 2).astype(self.loss.dtype) + self.loss[at]
+
+
+NEIGHBOUR = "array<struct<d:double,n:bigint,m:bigint>>"
 
 
-def _nearer(k: int):
-    """Kernel: per query the ``k`` nearest points within its bound, other than itself."""
+def _nearer(k: int, every: bool = False):
+    """Kernel: per query the ``k`` nearest points within its bound, other than itself, nearest first, the lower number first
+    among equals; with ``every`` also of the queries that found none."""
     def start(q: dict, p: dict):
         size, limit = len(q["n"]), np.array(q["bound"], dtype=np.float64)
         d_of, n_of, m_of = np.full((size, k), np.inf), np.full((size, k), -1), np.zeros((size, k), dtype=np.int64)
+        squares = Squares(q["v"], p["v"])
 
         def compare(at: np.ndarray, rows: np.ndarray) -> None:
-            n, m, v = p["n"][rows], p["m"][rows], p["v"][rows]
-            d = distances(q["v"][at], v)
-            d[q["n"][at, None] == n[None, :]] = np.inf
-            for i in np.flatnonzero(d.min(axis=1) <= limit[at] + SLACK):
-                a = at[i]
-                c = np.flatnonzero((d[i] <= limit[a] + SLACK) & np.isfinite(d[i]))
-                if len(c) > k:
-                    c = c[d[i, c] <= np.partition(d[i, c], k - 1)[k - 1] + 2 * SLACK]
-                e = np.r_[d_of[a], exact_distance(q["v"][a], v[c])]
-                all_n, all_m = np.r_[n_of[a], n[c]], np.r_[m_of[a], m[c]]
-                o = np.lexsort((all_n, e))[:k]
-                d_of[a], n_of[a], m_of[a] = e[o], all_n[o], all_m[o]
-                limit[a] = min(limit[a], d_of[a, -1])
+            sq = squares(at, rows)
+            most = squares.most(limit[at], at)
+            found = np.flatnonzero(sq <= most[:, None])
+            if len(found) > 4 * k * len(at) and len(rows) > k:  # one more, as the query itself may be among them
+                most = np.minimum(most, np.partition(sq, k, axis=1)[:, k] + squares.loss[at] * 2)
+                found = np.flatnonzero(sq <= most[:, None])
+            i, j = np.divmod(found, len(rows))
+            of, to = at[i], rows[j]
+            d = exact_distance(q["v"][of], p["v"][to])
+            ok = (d <= limit[of]) & (q["n"][of] != p["n"][to])
+            if not ok.any():
+                return
+            of, to, d = of[ok], to[ok], d[ok]
+            touched = np.unique(of)
+            key = np.r_[np.repeat(touched, k), of]
+            d, n, m = (np.r_[x[touched].ravel(), y] for x, y in ((d_of, d), (n_of, p["n"][to]), (m_of, p["m"][to])))
+            order = np.lexsort((n, d, key))
+            best = order[np.searchsorted(key[order], touched)[:, None] + np.arange(k)]  # each key brings k places of its own
+            d_of[touched], n_of[touched], m_of[touched] = d[best], n[best], m[best]
+            limit[touched] = np.minimum(limit[touched], d_of[touched, -1])
 
         def result() -> pa.Table:
             there = np.isfinite(d_of)
-            some = there.any(axis=1)
+            some = there.any(axis=1) | every
             near = pa.StructArray.from_arrays([pa.array(x[there]) for x in (d_of, n_of, m_of)], names=["d", "n", "m"])
             ends = np.r_[0, np.cumsum(there[some].sum(axis=1))].astype(np.int32)
             return pa.table({"n": pa.array(q["n"][some], pa.int64()), "m": pa.array(q["m"][some], pa.int64()), "near": pa.ListArray.from_arrays(pa.array(ends), near)})
@@ -220,20 +298,26 @@ def _nearer(k: int):
 def nearest_neighbours(index: BlockIndex, k: int) -> DataFrame:
     """(n, m, near) with the exact k nearest other points of every point.
 
-    The own block gives a first bound; other blocks are searched only where they may beat it.
+    The own group gives a first bound; other groups are searched only where they may beat it.
     """
-    def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, m, v = pdf["n"].to_numpy(), pdf["m"].to_numpy(), stack(pdf["v"])
-        near = _nearest(n, v, n, m, v, k)
-        bound = [x[k - 1]["d"] if len(x) == k else np.inf for x in near]
-        return pdf[["n", "m", "v", "block"]].assign(near=near, bound=bound)
-
-    first = materialise(index.points.groupBy("block").applyInPandas(
-        own, f"n long, m long, v array<double>, block int, near {NEIGHBOUR}, bound double"))
-    blocks = len(index.cell)
-    if blocks == 1:
+    pivots, cell, radius, group = index.pivots, index.cell, index.radius, index.group
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = list(batches)  # a group
+        if part:
+            part = pa.Table.from_batches(part)
+            x = arrays(part)
+            x |= {"bound": np.full(len(part), np.inf), "only": np.full(len(part), -1)}
+            found = meet(x, x, _nearer(k, True)(x, x), pivots.value, cell, radius)
+            yield from found.append_column("v", part.column("v")).append_column("block", part.column("block")).to_batches(OUT_ROWS)
+
+    number = F.get(F.lit([int(g) for g in group]), F.col("block")).cast("int")
+    grouped = index.points.repartitionById(int(group.max(initial=0)) + 1, number).select("n", "m", "v", "block")
+    first = materialise(grouped.mapInArrow(own, f"n long, m long, near {NEIGHBOUR}, v array<double>, block int").withColumn(
+        "bound", F.when(F.size("near") == k, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf")))))
+    if len(np.unique(group)) == 1:
         return first.select("n", "m", "near")
-    foreign = lambda q, blocks: q["block"][:, None] != blocks
+    foreign = lambda q, blocks: group[q["block"]][:, None] != group[blocks]
     queries = index.targets(first.select("n", "m", "v", "block", "bound"), foreign)
     # per point at most k entries from each group searched
     best = lambda more: (first.select("n", "m", "near").unionByName(more).groupBy("n", "m")

@@ -302,3 +302,56 @@ def test_clustering_deletes_tables_of_past_rounds(spark):
     assert plain.same_partition(plain.hdbscan(x, 15, 4, 0.0), [r.cluster for r in got])
     made = held() - before
     assert all(os.path.exists(p.removeprefix("file:")) for p in made) and len(made) < 40, len(made)
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-13, 0.0), (1e18, 0.0), (1.0, 1e6)])
+def test_close_queries_meet_near_leaves_only(scale, shift):
+    """Nearest neighbours inside a task are exact, ties and copies included, and most rows are never compared."""
+    from driftline.operators import neighbours
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12000, 3))
+    x[100:140] = x[100]
+    x = scale * np.round(x, 2 if scale == 1 else 9) + shift
+    n = np.arange(len(x))
+    q = {"n": n, "m": n * 0 + 1, "v": x, "block": n % 2, "bound": np.full(len(x), np.inf), "only": n * 0 - 1}
+    bound, compare, result = neighbours._nearer(4, True)(q, q)
+    seen = []
+
+    def counted(at, rows):
+        seen.append(len(at) * len(rows))
+        compare(at, rows)
+    got = neighbours.meet(q, q, (bound, counted, result), x[:2], np.arange(2), np.full(2, np.inf)).to_pylist()
+    for r in got[::97] + got[100:140:9]:
+        d = neighbours.exact_distance(x, x[r["n"]])
+        d[r["n"]] = np.inf
+        assert [e["n"] for e in r["near"]] == list(np.lexsort((n, d))[:4])
+    if scale == 1:
+        assert sum(seen) < 0.4 * len(x) ** 2
+
+
+def test_groups_of_blocks_lie_side_by_side(spark):
+    """Vectors on a line: a group is a stretch of it, not a choice of cells from all over it."""
+    x = np.random.default_rng(8).uniform(size=(2000, 1))
+    index = BlockIndex.build(frame(spark, x).selectExpr("id AS n", "1L AS m", "v"), 2000, 20, group_rows=500)
+    of = {r["n"]: index.group[r["block"]] for r in index.points.select("n", "block").collect()}
+    group = np.array([of[i] for i in range(2000)])
+    assert len(np.unique(group)) >= 4
+    assert sum(np.ptp(x[group == g]) for g in np.unique(group)) < 1.2
+
+
+def test_edge_to_another_component_is_the_lightest():
+    """The kernel finds what all pairs give, for queries of one component and of several, bounded or not."""
+    from driftline.operators import neighbours
+    rng = np.random.default_rng(6)
+    x, core = np.round(rng.normal(size=(400, 2)), 1), rng.uniform(0.1, 0.6, 400)
+    for c in (rng.integers(0, 9, 400), (x[:, 0] > 0).astype(int)):
+        for most in (np.inf, 0.7):
+            n = np.arange(400)
+            q = {"n": n, "c": c, "core": core, "v": x, "block": n * 0, "bound": np.full(400, most), "only": n * 0 - 1}
+            got = neighbours.meet(q, q, density._foreign_edge(q, q), x[:1], np.arange(1), np.full(1, np.inf)).to_pylist()
+            w = np.maximum(np.maximum(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), core[:, None]), core[None])
+            for k in np.unique(c):
+                a, b = np.nonzero((c == k)[:, None] & (c != k)[None])
+                want = min(zip(w[a, b].tolist(), np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+                found = [(r["w"], r["lo"], r["hi"]) for r in got if r["c"] == k]
+                assert found == ([want] if want[0] <= most else [])
